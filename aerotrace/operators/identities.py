@@ -125,8 +125,8 @@ def rank_by_distance(gids: DataFrame, probes: DataFrame, probe_key: str = "probe
     n = probes.limit(max_probes + 1).count()
     if n > max_probes:
         raise ValueError(f"more than {max_probes} probes; rank in parts")
-    packed = probes.agg(F.collect_list(F.struct(F.col(probe_key), F.col("lat").alias("plat"), F.col("lon").alias("plon"))).alias("__p"))
-    d = gids.join(F.broadcast(packed)).withColumn("__q", F.explode("__p"))
+    packed = probes.withColumn("__one", F.lit(1)).groupBy("__one").agg(F.collect_list(F.struct(F.col(probe_key), F.col("lat").alias("plat"), F.col("lon").alias("plon"))).alias("__p"))
+    d = gids.withColumn("__one", F.lit(1)).join(F.broadcast(packed), "__one").withColumn("__q", F.explode("__p"))
     d = d.withColumn("distance", geo.haversine("lat", "lon", F.col("__q.plat"), F.col("__q.plon"), geo.R_EARTH_MEAN))
     return d.select(F.col(f"__q.{probe_key}").alias(probe_key), *gids.columns, "distance")
 

@@ -22,11 +22,16 @@ def exact_percentile(df: DataFrame, by: Sequence[str], col: str, ps: dict[str, f
     holds a whole group.
     """
     by = list(by)
+    if not by:
+        one = exact_percentile(df.withColumn("__all", F.lit(0)), ["__all"], col, ps, direct_rows, passes)
+        return one.drop("__all")
     d = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).select(*by, F.col(col).cast("double").alias("__v"))
     size = d.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    tagged = d.join(size, by) if by else d.crossJoin(F.broadcast(size))
+    tagged = d.join(size, by)
     small = (tagged.filter(F.col("__n") <= direct_rows).groupBy(*by)
              .agg(*[F.percentile("__v", p).alias(o) for o, p in ps.items()]))
+    if size.filter(F.col("__n") > direct_rows).isEmpty():
+        return d.groupBy(*by).agg(*[F.percentile("__v", p).alias(o) for o, p in ps.items()])
     big = tagged.filter(F.col("__n") > direct_rows)
     # two neighbouring ranks per percentile, counted from zero
     wanted = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(float(p)).alias("p")) for o, p in ps.items()])
@@ -34,7 +39,7 @@ def exact_percentile(df: DataFrame, by: Sequence[str], col: str, ps: dict[str, f
         *by, F.col("__w.o").alias("__o"), (F.col("__w.p") * (F.col("__n") - 1)).alias("__pos"), "__lo", "__hi")
     ranks = ranks.withColumn("__k", F.explode(F.array_distinct(F.array(F.floor("__pos"), F.ceil("__pos"))))).withColumn("__below", F.lit(0).cast("bigint"))
     keys = [*by, "__o", "__k"]
-    pool = big.select(*by, "__v").join(ranks.select(*keys, "__lo", "__hi"), by) if by else big.select("__v").crossJoin(F.broadcast(ranks.select(*keys, "__lo", "__hi")))
+    pool = big.select(*by, "__v").join(ranks.select(*keys, "__lo", "__hi"), by)
     for _ in range(passes):
         width = (F.col("__hi") - F.col("__lo")) / BINS
         pool = pool.withColumn("__bin", F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / width), F.lit(BINS - 1))).otherwise(0))

@@ -151,8 +151,8 @@ def _(t):
 SELECT mission_id, {rs('ts')} AS ts, CASE WHEN now - ts < 3.0 THEN {rs('alt')} END AS alt FROM l, m""", "telemetry")
 def _(t):
     telem = t("telemetry").select("mission_id", F.col("t").alias("ts"), "alt")
-    now = telem.agg(F.max("ts").alias("now"))
-    d = tm.latest(telem, ["mission_id"], "ts").join(F.broadcast(now))
+    now = telem.groupBy(F.lit(1).alias("one")).agg(F.max("ts").alias("now"))
+    d = tm.latest(telem, ["mission_id"], "ts").withColumn("one", F.lit(1)).join(F.broadcast(now), "one")
     return tm.mask_stale(d, F.col("now"), fields=["alt"]).select("mission_id", r("ts").alias("ts"), r("alt").alias("alt"))
 
 
