@@ -110,10 +110,10 @@ def resolve_identities(tracks: DataFrame, radius: float = geo.GEO_FAR_M, min_cos
 # ---- medoids ------------------------------------------------------------------------------
 
 
-def _distinct_points(df: DataFrame, by: list[str], order: str, lat: str, lon: str) -> DataFrame:
+def _distinct_points(df: DataFrame, by: list[str], order: str, lat: str, lon: str, weight: str | None = None) -> DataFrame:
     """One row per position with its weight and its first place in the order."""
     return (df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(*by, F.col(lat).alias("lat"), F.col(lon).alias("lon"))
-            .agg(F.count("*").alias("w"), F.min(order).alias("ord")))
+            .agg((F.sum(weight) if weight else F.count("*")).alias("w"), F.min(order).alias("ord")))
 
 
 def _arc(a: Column, b: Column) -> Column:
@@ -138,7 +138,7 @@ def _blocks(df: DataFrame, by: list[str], n: Column, name: str) -> DataFrame:
 
 
 def medoid(df: DataFrame, by: Sequence[str], order: str = "frame", lat: str = "lat", lon: str = "lon",
-           direct: int = BLOCK) -> DataFrame:
+           direct: int = BLOCK, weight: str | None = None) -> DataFrame:
     """Observed position with the least summed distance to the others; the first wins ties.
 
     Groups of up to ``direct`` distinct positions are one small array. In larger ones a grid of at
@@ -147,7 +147,7 @@ def medoid(df: DataFrame, by: Sequence[str], order: str = "frame", lat: str = "l
     points whose bound does not exceed that price are priced in full, block against block.
     """
     by = list(by)
-    pts = cut(_distinct_points(df, by, order, lat, lon))
+    pts = cut(_distinct_points(df, by, order, lat, lon, weight))
     size = pts.groupBy(*by).agg(F.count("*").alias("__n"), F.sum("w").alias("n_points"))
     d = pts.join(size, by)
     small = d.filter(F.col("__n") <= direct).groupBy(*by).agg(F.collect_list(_prepared()).alias("__p"), F.first("n_points").alias("n_points"))
@@ -271,6 +271,4 @@ def density_medoid(df: DataFrame, by: Sequence[str], order: str = "frame", lat:
     sizes = c.filter(F.col("cluster").isNotNull()).groupBy(*by, "cluster").agg(F.sum("w").alias("n"))
     top = sizes.groupBy(*by).agg(F.max_by("cluster", F.struct("n", -F.col("cluster"))).alias("__top"))
     kept = c.join(top, by, "left").filter(F.col("__top").isNull() | (F.col("cluster") == F.col("__top")))
-    # restore the weight of repeated fixes
-    kept = kept.select(*by, "lat", "lon", "ord", "w").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
-    return medoid(kept, by, "ord")
+    return medoid(kept, by, "ord", weight="w")
