@@ -107,7 +107,7 @@ def _(t):
 
 
 @query("flag_best", f"""WITH m AS (SELECT dataset, mode, metric, avg(value) AS value FROM metrics GROUP BY 1, 2, 3), w AS (SELECT *, min(value) OVER x AS lo, max(value) OVER x AS hi, metric = 'overall' AS low FROM m WINDOW x AS (PARTITION BY dataset, metric))
-SELECT dataset, mode, metric, value = CASE WHEN low THEN lo ELSE hi END AS is_best, value = CASE WHEN low THEN hi ELSE lo END AS is_worst FROM w""", "metrics")
+SELECT dataset, mode, metric, abs(value - CASE WHEN low THEN lo ELSE hi END) < 1e-8 AS is_best, abs(value - CASE WHEN low THEN hi ELSE lo END) < 1e-8 AS is_worst FROM w""", "metrics")
 def _(t):
     m = t("metrics").groupBy("dataset", "mode", "metric").agg(F.avg("value").alias("value"))
     return mt.flag_best(m, ["dataset", "metric"]).drop("value")
