@@ -102,6 +102,25 @@ SELECT event_id, props AS payload,
 """,
 }
 
+# Views beyond the fixture list: depth maps, cameras and pose pairs derived from the base tables.
+VIEWS["depth_px"] = """
+SELECT CAST(l_suppkey % 3 AS INT) AS scene, l_linenumber AS view, l_partkey % 40 AS u, l_orderkey % 30 AS v,
+  max(CASE WHEN l_partkey % 29 = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(4.0 AS DOUBLE) + (l_partkey % 40) * CAST(0.01 AS DOUBLE) + (l_orderkey % 3) * CAST(0.05 AS DOUBLE) END) AS depth,
+  max(l_quantity * CAST(0.05 AS DOUBLE)) AS conf, max(l_discount * 7) AS sky, max(l_partkey % 256) AS red, max(l_suppkey % 256) AS green, max(l_orderkey % 256) AS blue
+FROM lineitem GROUP BY 1, 2, 3, 4
+"""
+VIEWS["cameras"] = """
+SELECT DISTINCT CAST(l_suppkey % 3 AS INT) AS scene, l_linenumber AS view, CAST(50.0 AS DOUBLE) + l_linenumber AS fx, CAST(52.0 AS DOUBLE) AS fy,
+  CAST(20.0 AS DOUBLE) AS cx, CAST(15.0 AS DOUBLE) AS cy, l_linenumber * CAST(0.01 AS DOUBLE) AS tx FROM lineitem
+"""
+VIEWS["pose_pairs"] = """
+SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS scene, p_partkey % 50 AS view, (p_partkey * 37) % 360 * CAST(0.0174532925 AS DOUBLE) AS a,
+  (p_partkey * 37) % 360 * CAST(0.0174532925 AS DOUBLE) + (p_partkey * 13 % 17) * CAST(0.011 AS DOUBLE) AS pa,
+  (p_partkey * 7919) % 101 * CAST(0.1 AS DOUBLE) AS x, (p_partkey * 104729) % 97 * CAST(0.1 AS DOUBLE) AS y,
+  (p_partkey * 7919) % 101 * CAST(0.1 AS DOUBLE) + (p_partkey % 5) * CAST(0.031 AS DOUBLE) AS px, (p_partkey * 104729) % 97 * CAST(0.1 AS DOUBLE) - (p_partkey % 7) * CAST(0.023 AS DOUBLE) AS py
+FROM part
+"""
+
 
 class Tables:
     """Access to base tables and fixture views of one data folder."""
