@@ -110,3 +110,24 @@ def fps_value(msg) -> Column:
 
 def ready_gid(msg) -> Column:
     return null_if_blank(F.regexp_extract(_c(msg), GID_READY, 1)).try_cast("bigint")
+
+
+def parse_goals(df, col: str = "payload"):
+    """Goal commands from JSON: ``status`` accepted, cancel or rejected, with the reason and values.
+
+    The reasons follow the order of the checks: text, command, yaw, then the coordinates.
+    """
+    j = F.from_json(F.col(col), "cmd string, lat string, lon string, x string, y string, yaw string, frame string")
+    d = df.withColumn("__j", j).withColumn("__ok", F.try_parse_json(col).isNotNull() & F.col(col).rlike(r"^\s*\{"))
+    f = lambda n: F.col(f"__j.{n}")
+    num = lambda n: f(n).try_cast("double")
+    cmd = F.coalesce(f("cmd"), F.lit("goal"))
+    has_ll, has_xy = f("lat").isNotNull() & f("lon").isNotNull(), f("x").isNotNull() & f("y").isNotNull()
+    reason = (F.when(~F.col("__ok"), "malformed JSON").when(cmd == "cancel", None).when(cmd != "goal", F.concat(F.lit("unknown cmd: "), cmd))
+              .when(f("yaw").isNotNull() & num("yaw").isNull(), "yaw must be numeric")
+              .when(has_ll & (num("lat").isNull() | num("lon").isNull()), "lat/lon must be numeric").when(has_ll, None)
+              .when(has_xy & (num("x").isNull() | num("y").isNull()), "x/y must be numeric").when(has_xy, None).otherwise("goal needs lat+lon (or x+y)"))
+    d = d.withColumn("reason", reason)
+    status = F.when(F.col("reason").isNotNull(), "rejected").when(cmd == "cancel", "cancel").otherwise("accepted")
+    return d.withColumns({"status": status, "yaw": F.coalesce(num("yaw"), F.lit(0.0)), "lat": num("lat"), "lon": num("lon"), "x": num("x"), "y": num("y"),
+                          "frame": F.coalesce(f("frame"), F.lit("map"))}).drop("__j", "__ok")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -242,9 +244,6 @@ def align_sim3(pairs: DataFrame, by: Sequence[str] = ("scene",)) -> DataFrame:
     ``pairs`` has ``x, y, z`` (reference) and ``ex, ey, ez`` (estimate) per view. Means and the
     covariance are plain aggregates; only the 3 x 3 decomposition per scene runs in Python.
     """
-    import numpy as np
-    import pandas as pd
-
     by, est = list(by), ("ex", "ey", "ez")
     mean = pairs.groupBy(*by).agg(*[F.avg(k).alias(f"m{k}") for k in (*XYZ, *est)])
     d = pairs.join(mean, by)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aerotrace.functions import geo
 from aerotrace.functions import vectors as vec
@@ -67,13 +68,13 @@ def _stack(x) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in x])
 
 
-@F.pandas_udf("struct<score:double,support:double>")
+@F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("support", T.DoubleType())]))
 def separation(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Separation score and support of two gallery columns."""
     return pd.DataFrame([_separation(_stack(x), _stack(y)) for x, y in zip(a, b)], columns=["score", "support"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def self_baseline(g: pd.Series) -> pd.Series:
     return pd.Series([_baseline(_stack(x)) for x in g])
 

@@ -238,13 +238,16 @@ def _(t):
 
 # ---- LiDAR ---------------------------------------------------------------------------------
 
-_SW = """b AS (SELECT *, seq * 10 + beam_no AS row, lag(lat_deg) OVER w AS pl, lag(alt_rel_m) OVER w AS pa, lag(roll_deg) OVER w AS pr, lag(cam_angle_deg) OVER w AS pc FROM beams WINDOW w AS (ORDER BY seq * 10 + beam_no)),
+_BU = """bu AS (SELECT seq, beam_no, max(lat_deg) AS lat_deg, max(alt_rel_m) AS alt_rel_m, max(roll_deg) AS roll_deg, max(cam_angle_deg) AS cam_angle_deg, max(cam_range_m) AS cam_range_m, max(d_rel) AS d_rel FROM beams GROUP BY 1, 2)"""
+_SW = _BU + """, b AS (SELECT *, seq * 10 + beam_no AS row, lag(lat_deg) OVER w AS pl, lag(alt_rel_m) OVER w AS pa, lag(roll_deg) OVER w AS pr, lag(cam_angle_deg) OVER w AS pc FROM bu WINDOW w AS (ORDER BY seq * 10 + beam_no)),
  sw AS (SELECT *, sum(CASE WHEN pl IS NULL OR pl <> lat_deg OR pa <> alt_rel_m OR pr <> roll_deg OR cam_angle_deg <= pc THEN 1 ELSE 0 END) OVER (ORDER BY row)::BIGINT AS sweep_id FROM b)"""
 POSE3 = ("lat_deg", "alt_rel_m", "roll_deg")
 
 
 def swept(t):
-    b = t("beams").withColumn("row", F.col("seq") * 10 + F.col("beam_no"))
+    # the fixture repeats some beams; a scan has each beam once
+    b = t("beams").groupBy("seq", "beam_no").agg(*[F.max(c).alias(c) for c in (*POSE3, "cam_angle_deg", "cam_range_m", "d_rel")])
+    b = b.withColumn("row", F.col("seq") * 10 + F.col("beam_no"))
     return ld.sessionize(b, pose=POSE3, angle="cam_angle_deg")
 
 
@@ -268,12 +271,12 @@ def _(t):
 _U = "953.27546 + 1584.02798 * tan(radians(cam_angle_deg))"
 
 
-@query("beam_pixels", f"SELECT seq, beam_no, {rs(_U,4)} AS u, {rs('cam_range_m*cos(radians(cam_angle_deg))')} AS z FROM beams WHERE cam_range_m IS NOT NULL AND {_U} >= 0 AND {_U} < 1920", "beams")
+@query("beam_pixels", f"WITH {_BU} SELECT seq, beam_no, {rs(_U,4)} AS u, {rs('cam_range_m*cos(radians(cam_angle_deg))')} AS z FROM bu WHERE cam_range_m IS NOT NULL AND {_U} >= 0 AND {_U} < 1920", "beams")
 def _(t):
     return ld.beam_pixels(shot(t)).select("seq", "beam_no", r("u", 4).alias("u"), r("z").alias("z"))
 
 
-@query("fit_depth", f"""WITH d AS (SELECT seq // 8 AS frame, d_rel AS d, cam_range_m * cos(radians(cam_angle_deg)) AS z FROM beams WHERE cam_range_m IS NOT NULL), g AS (SELECT frame, count(*) AS n, quantile_cont(z/d, 0.5) AS med, regr_slope(z, d) AS sa, regr_intercept(z, d) AS sb, max(d)-min(d) AS ptp, avg(d) AS mean FROM d GROUP BY 1),
+@query("fit_depth", f"""WITH {_BU}, d AS (SELECT seq // 8 AS frame, d_rel AS d, cam_range_m * cos(radians(cam_angle_deg)) AS z FROM bu WHERE cam_range_m IS NOT NULL), g AS (SELECT frame, count(*) AS n, quantile_cont(z/d, 0.5) AS med, regr_slope(z, d) AS sa, regr_intercept(z, d) AS sb, max(d)-min(d) AS ptp, avg(d) AS mean FROM d GROUP BY 1),
  f AS (SELECT *, coalesce(n >= 3 AND ptp > 0.3*mean AND sa > 0, FALSE) AS af FROM g), k AS (SELECT frame, n, CASE WHEN af THEN 'affine' ELSE 'scale' END AS mode, CASE WHEN af THEN sa ELSE med END AS a, CASE WHEN af THEN sb ELSE 0.0 END AS b FROM f)
 SELECT k.frame, any_value(n) AS n, any_value(mode) AS mode, {rs('any_value(a)',5)} AS a, {rs('any_value(b)',5)} AS b, {rs('sqrt(avg(pow(a*d+b-z,2)))',5)} AS rmse FROM k JOIN d USING (frame) GROUP BY 1""", "beams")
 def _(t):
@@ -282,12 +285,12 @@ def _(t):
     return f.select("frame", "n", "mode", *[r(c, 5).alias(c) for c in ("a", "b", "rmse")])
 
 
-@query("beam_side", f"""WITH {_SW}, g AS (SELECT sweep_id, alt_rel_m % 4 AS grp, radians(cam_angle_deg) AS phi, cam_range_m AS rg, radians(roll_deg) AS rl, roll_deg, alt_rel_m FROM sw WHERE cam_range_m IS NOT NULL),
+@query("beam_side", f"""WITH {_SW}, g AS (SELECT sweep_id, alt_rel_m % 4 AS grp, radians(cam_angle_deg) AS phi, cam_range_m + 0.013 * beam_no * beam_no AS rg, radians(roll_deg) AS rl, roll_deg, alt_rel_m FROM sw WHERE cam_range_m IS NOT NULL),
  v AS (SELECT grp, sweep_id, stddev_pop(rg*(cos(phi)*cos(rl)+sin(phi)*sin(rl)))/avg(rg*(cos(phi)*cos(rl)+sin(phi)*sin(rl))) AS a, stddev_pop(rg*(cos(phi)*cos(rl)-sin(phi)*sin(rl)))/avg(rg*(cos(phi)*cos(rl)-sin(phi)*sin(rl))) AS b FROM g GROUP BY 1, 2
   HAVING any_value(abs(roll_deg)) >= 2 AND count(*) >= 3 AND min(phi) < -0.2 AND max(phi) > 0.2), s AS (SELECT grp, avg(CASE WHEN a < b THEN 1.0 ELSE 0 END) AS sh, count(*) AS votes FROM v GROUP BY 1)
 SELECT grp, CASE WHEN sh > 0.5 THEN 1 ELSE -1 END AS side, {rs('greatest(sh, 1-sh)')} AS share, votes FROM s""", "beams")
 def _(t):
-    d = shot(t).withColumn("grp", F.col("alt_rel_m") % 4)
+    d = shot(t).withColumns({"grp": F.col("alt_rel_m") % 4, "range": F.col("range") + 0.013 * F.col("beam_no") * F.col("beam_no")})
     return ld.beam_side(d, by=["grp"]).select("grp", "side", r("share").alias("share"), "votes")
 
 

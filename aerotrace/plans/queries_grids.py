@@ -87,13 +87,13 @@ def _(t):
 
 @query("to_grid", f"""WITH px AS (SELECT frame, r, c, CASE WHEN blocked = 1 THEN 0 ELSE 255 END AS v FROM cells), e AS (SELECT frame, gi, gj, v, (least(r+1.0,(gi+1)*2.4)-greatest(r,gi*2.4))*(least(c+1.0,(gj+1)*2.4)-greatest(c,gj*2.4)) AS w
  FROM px, (SELECT unnest(range(10)) AS gi), (SELECT unnest(range(14)) AS gj) WHERE r < (gi+1)*2.4 - 1e-9 AND r+1 > gi*2.4 + 1e-9 AND c < (gj+1)*2.4 - 1e-9 AND c+1 > gj*2.4 + 1e-9 AND gj < 14)
-SELECT frame, gi AS r, gj AS c, {rs('sum(v*w)/sum(w)',2)} AS mean FROM e GROUP BY 1, 2, 3""", "cells")
+SELECT frame, gi AS r, gj AS c, {rs('sum(v*w)/sum(w)/255.0',5)} AS mean FROM e GROUP BY 1, 2, 3""", "cells")
 def _(t):
     p = t("cells").withColumn("value", F.when(F.col("blocked") == 1, 0).otherwise(255)).filter("c < 34")
     # 24 x 33.6 pixels onto 10 x 14 cells: both axes shrink by 2.4
     d = gr.to_grid(p.withColumns({"r": F.col("r") * 5, "c": F.col("c") * 5}).withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(24))))
                    .withColumns({"r": F.col("r") + F.floor(F.col("__k") / 5), "c": F.col("c") + F.col("__k") % 5}), 120, 168, 14)
-    return d.select("frame", "r", "c", r("mean", 2).alias("mean"))
+    return d.select("frame", "r", "c", r(F.col("mean") / 255, 5).alias("mean"))
 
 
 @query("inflate", """SELECT DISTINCT frame, k.r + o.dr AS r, k.c + o.dc AS c FROM cells k, (SELECT a - 2 AS dr, b - 2 AS dc FROM (SELECT unnest(range(5)) AS a), (SELECT unnest(range(5)) AS b) WHERE abs(b-2) <= round_even(2*sqrt(1-((a-2)/2.0)*((a-2)/2.0)), 0)) o WHERE k.blocked = 1""", "cells")
