@@ -1,10 +1,26 @@
-"""Flagship plan: telemetry as-of join, ground projection, one position per track."""
+"""Flagship plan: where the aircraft saw each person, and one position per casualty."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerotrace.operators import clusters, detections, telemetry, tracks
+
+
+def sightings(t) -> DataFrame:
+    """Detections placed on the ground with the telemetry row nearest in time."""
+    dets = t("detections").withColumn("t", F.col("frame") * 0.01)
+    fixes = telemetry.drop_no_fix(t("telemetry"))
+    d = telemetry.asof(dets, fixes, cols=["lat", "lon", "alt", "roll", "pitch", "yaw", "zoom"])
+    return detections.locate_boxes(d.select("*", "match.*").drop("match"))
+
 
 def casualty_positions(t) -> DataFrame:
-    raise NotImplementedError
+    """Tracks of person boxes with the medoid of their ground positions."""
+    seen = sightings(t).filter("label = 'person'").dropDuplicates(["mission_id", "frame", "det_id"])
+    tracked = tracks.track_greedy(seen)
+    placed = tracked.join(seen.select("mission_id", "frame", "det_id", "obj_lat", "obj_lon", "conf"), ["mission_id", "frame", "det_id"])
+    spans = placed.groupBy("mission_id", "tid").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count("*").alias("hits"), F.max("conf").alias("best_conf"))
+    pos = clusters.medoid(placed, ["mission_id", "tid"], "frame", "obj_lat", "obj_lon")
+    return spans.join(pos.select("mission_id", "tid", "lat", "lon"), ["mission_id", "tid"], "left")
