@@ -109,18 +109,34 @@ def stream_latest(samples: DataFrame, key: str = "uav_id", order: str = "ts") ->
     return ok.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("__r")).select(key, "__r.*")
 
 
-def stream_sync3(images: DataFrame, gps: DataFrame, imu: DataFrame, slop: str = "100 milliseconds", delay: str = "2 seconds",
+def stream_sync3(images: DataFrame, gps: DataFrame, imu: DataFrame, slop_ms: int = 100, delay: str = "2 seconds",
                  by: str = "mission_id") -> DataFrame:
-    """Image rows with the nearest GPS and IMU sample in reach, by interval joins.
+    """Image rows with the nearest GPS and IMU sample in reach; the earlier one on a tie.
 
-    Each side has ``ts``; images also have ``frame``. Emitted once the watermark has passed.
+    Each side has ``ts``; images also have ``frame``. Samples are placed in their own time bucket
+    and both neighbours, so an image meets all candidates in its bucket, which a sensor's rate
+    keeps short. A bucket is emitted once the watermark has passed it.
     """
-    i = images.withWatermark("ts", delay)
-    side = lambda d, n: d.withWatermark("ts", delay).select(F.col(by).alias(f"{n}_by"), F.col("ts").alias(f"{n}_ts"), F.struct(*d.columns).alias(n))
-    near = lambda n: F.expr(f"{by} = {n}_by AND {n}_ts BETWEEN ts - INTERVAL {slop} AND ts + INTERVAL {slop}")
-    d = i.join(side(gps, "gps"), near("gps")).join(side(imu, "imu"), near("imu"))
-    gap = lambda n: F.struct(F.abs(F.unix_micros("ts") - F.unix_micros(f"{n}_ts")).alias("d"), F.col(f"{n}_ts"))
-    return d.groupBy(by, "frame", "ts").agg(F.min_by("gps", gap("gps")).alias("gps"), F.min_by("imu", gap("imu")).alias("imu"))
+    slop_us = slop_ms * 1000
+
+    def side(d, name, shifts):
+        us = F.unix_micros("ts")
+        d = d.select(by, us.alias("us"), F.struct(*d.columns).alias(name))
+        d = d.withColumn("__s", F.explode(F.array(*[F.lit(x * slop_us) for x in shifts])))
+        return d.withColumn("at", F.timestamp_micros(F.col("us") + F.col("__s"))).drop("__s")
+
+    u = side(images, "img", [0])
+    for d, n in ((gps, "gps"), (imu, "imu")):
+        u = u.unionByName(side(d, n, [-1, 0, 1]), allowMissingColumns=True)
+    u = u.withWatermark("at", delay).groupBy(by, F.window("at", f"{slop_ms} milliseconds")).agg(F.collect_list(F.struct("us", "img", "gps", "imu")).alias("rows"))
+    u = u.withColumn("i", F.explode(F.filter("rows", lambda x: x["img"].isNotNull())))
+
+    def nearest(name):
+        near = F.filter("rows", lambda x: x[name].isNotNull() & (F.abs(x["us"] - F.col("i.us")) <= slop_us))
+        return F.array_min(F.transform(near, lambda x: F.struct(F.abs(x["us"] - F.col("i.us")).alias("d"), x["us"].alias("us"), x[name].alias("v"))))["v"]
+
+    d = u.select(by, F.col("i.img.frame").alias("frame"), F.col("i.img.ts").alias("ts"), nearest("gps").alias("gps"), nearest("imu").alias("imu"))
+    return d.filter(F.col("gps").isNotNull() & F.col("imu").isNotNull())
 
 
 def readiness(signals: DataFrame, key: str = "uav_id", max_age: float = 2.0) -> DataFrame:

