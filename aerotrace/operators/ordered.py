@@ -28,10 +28,8 @@ def _carry_summary(s: DataFrame, by: list[str], vals: dict[str, tuple[str, bool]
     s = s.withColumn("__sup", F.floor(F.col("__seg") / SUMMARY_FAN))
 
     def reach(part, key, col, back):
-        w = Window.partitionBy(*part).orderBy(key)
-        if back:
-            return F.last(col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        return F.first(col, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        w = Window.partitionBy(*part).orderBy(F.col(key).asc() if back else F.col(key).desc())
+        return F.last(col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
 
     s = s.withColumns({f"__1{v}": reach([*by, "__sup"], "__seg", v, back) for v, (_, back) in vals.items()})
     upper = s.groupBy(*by, "__sup").agg(*[
@@ -53,7 +51,9 @@ def carry(df: DataFrame, by: Sequence[str], order: Sequence[str], segment: Colum
     d = df.withColumn("__seg", segment.cast("bigint")).withColumn("__val", value)
     keys = [*by, "__seg"]
     ordv = F.when(F.col("__val").isNotNull(), _order_struct(order))
+    # looking ahead runs over the reversed order: frames that only shrink cost quadratic time
     w = Window.partitionBy(*keys).orderBy(*order)
+    rev = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
     aggs, vals = [], {}
     if prev:
         d = d.withColumn("__lp", F.last("__val", ignorenulls=True).over(
@@ -61,8 +61,8 @@ def carry(df: DataFrame, by: Sequence[str], order: Sequence[str], segment: Colum
         aggs.append(F.max_by("__val", ordv).alias("__sp"))
         vals["__sp"] = ("__cp", True)
     if next:
-        d = d.withColumn("__ln", F.first("__val", ignorenulls=True).over(
-            w.rowsBetween(0 if next_inclusive else 1, Window.unboundedFollowing)))
+        d = d.withColumn("__ln", F.last("__val", ignorenulls=True).over(
+            rev.rowsBetween(Window.unboundedPreceding, 0 if next_inclusive else -1)))
         aggs.append(F.min_by("__val", ordv).alias("__sn"))
         vals["__sn"] = ("__cn", False)
     d = d.join(_carry_summary(d.groupBy(*keys).agg(*aggs), by, vals), keys, "left")

@@ -82,18 +82,20 @@ def asof(left: DataFrame, right: DataFrame, on: str = "t", by: Sequence[str] = (
                       F.when(F.col("__side") == 0, F.col("__r")),
                       prev="__p" if need_prev else None, next="__n" if need_next else None)
     u = u.filter(F.col("__side") == 1)
-    t, p = F.col("__t"), F.col("__p")
+    t, p, n = F.col("__t"), F.col("__p"), F.col("__n")
+    # which side is used is one small column, so later steps do not repeat its condition per field
     if direction == "backward":
-        m = p
+        pick = F.when(p.isNotNull(), 1).otherwise(0)
     elif direction == "forward":
-        m = F.when(p["__on"] == t, p).otherwise(F.col("__n"))
+        pick = F.when(p["__on"] == t, 1).when(n.isNotNull(), 2).otherwise(0)
     else:
-        n = F.col("__n")
-        m = F.when(n.isNull() | (p.isNotNull() & (t - p["__on"] <= n["__on"] - t)), p).otherwise(n)
-    u = u.withColumn("__m", m)
+        pick = (F.when(p.isNotNull() & (n.isNull() | (t - p["__on"] <= n["__on"] - t)), 1).when(n.isNotNull(), 2).otherwise(0))
+    u = u.withColumn("__pick", pick)
+    side = (lambda c: p[c]) if direction == "backward" else (lambda c: F.when(F.col("__pick") == 1, p[c]).otherwise(n[c]))
     if tolerance is not None:
-        u = u.withColumn("__m", F.when(F.abs(F.col("__m")["__on"] - t) <= tolerance, F.col("__m")))
-    picked = F.when(F.col("__m").isNotNull(), F.struct(*[F.col("__m")[c].alias(c) for c in cols]))
+        near = F.abs(side("__on") - t) <= tolerance
+        u = u.withColumn("__pick", F.when(near, F.col("__pick")).otherwise(0))
+    picked = F.when(F.col("__pick") > 0, F.struct(*[side(c).alias(c) for c in cols]))
     return u.select("__l.*", picked.alias(out))
 
 
