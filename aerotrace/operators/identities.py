@@ -71,10 +71,9 @@ def gid_summary_asof(buffers: DataFrame, k: int | None = None, keys: Sequence[st
     if k is not None:
         return gid_summary(buffers.filter(F.col("update_no") <= k), keys)
     seg = F.floor(F.col("update_no") / 1024)
-    d = buffers.withColumns({"__f": F.struct(F.col("first_frame").alias("v"))})
     # running min and max per segment plus a carry of the segment extremes
     by, ks = list(keys), [*keys, "__seg"]
-    d = d.withColumn("__seg", seg)
+    d = buffers.withColumn("__seg", seg)
     w = Window.partitionBy(*ks).orderBy("update_no").rowsBetween(Window.unboundedPreceding, 0)
     up = Window.partitionBy(*by).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
     spec = {"best_conf": F.max, "best_sharpness": F.max, "first_frame": F.min, "last_frame": F.max}
@@ -82,7 +81,6 @@ def gid_summary_asof(buffers: DataFrame, k: int | None = None, keys: Sequence[st
     seg_ext = seg_ext.select(*ks, *[fn(f"__s_{c}").over(up).alias(f"__c_{c}") for c, fn in spec.items()],
                              F.coalesce(F.sum("__s_n").over(up), F.lit(0)).alias("__c_n"))
     d = d.join(seg_ext, ks, "left")
-    both = {"max": F.greatest, "min": F.least}
     run = {c: (F.greatest if fn is F.max else F.least)(fn(c).over(w), F.col(f"__c_{c}")) for c, fn in spec.items()}
     return d.select(*by, "update_no", "event", (F.count("*").over(w) + F.col("__c_n")).alias("updates"), "tid",
                     F.col("cumulative_gallery").alias("gallery_size"), *[v.alias(c) for c, v in run.items()])
