@@ -1,23 +1,49 @@
-"""Checkpointing that follows the cluster's own settings."""
+"""Checkpointing that follows the cluster's own settings, and the way this package reaches the workers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+CHECKPOINT_DIR = "spark.checkpoint.dir"
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Directory for reliable checkpoints: the session's own, or a local one where none is set."""
+    """Directory for reliable checkpoints: the session's own; a temporary one only in local mode.
+
+    On a cluster every machine has its own temporary folders, so a missing setting is an error there.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get(CHECKPOINT_DIR, None) or sc.getConf().get(CHECKPOINT_DIR)
+    if not configured and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="aerotrace-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers once per session, so that Python code runs there from any folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_aerotrace_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="aerotrace-pkg-"), "aerotrace_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._aerotrace_shipped = True
+
+
 PROPAGATION = "spark.sql.constraintPropagation.enabled"
 
 
