@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from aerotrace.llm import byte_bpe, packing, token_files, url_filter
+from aerotrace.llm import byte_bpe, html_text, packing, token_files, url_filter
 from aerotrace.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -21,6 +20,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every text."""
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
@@ -63,7 +67,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op7_byte_bpe, op8_url_filter, op9_packing)
+    f.__name__: f for f in (op1_token_files, op2_html_text, op7_byte_bpe, op8_url_filter, op9_packing)
 }
 
 ORACLES: dict[str, str] = {}
