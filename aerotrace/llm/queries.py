@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from aerotrace.llm import byte_bpe, html_text, packing, token_files, url_filter
+from aerotrace.llm import byte_bpe, hamming_index, html_text, packing, token_files, topk_search, url_filter
 from aerotrace.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -25,6 +26,16 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth vector with all others."""
+    return topk_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op5_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest neighbours found of every hundredth vector among all others."""
+    return hamming_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every text."""
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
@@ -67,7 +78,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_html_text, op7_byte_bpe, op8_url_filter, op9_packing)
+    f.__name__: f for f in (op1_token_files, op2_html_text, op3_topk_search, op5_hamming_index, op7_byte_bpe, op8_url_filter, op9_packing)
 }
 
 ORACLES: dict[str, str] = {}
