@@ -39,20 +39,18 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Data bytes, start and end of each row of a string or binary array; NULL counts as empty."""
-    big = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-    _, offsets, data = column.buffers()
+    """Data bytes of a string or binary array, and where each row starts and ends; NULL counts as empty."""
+    if column.null_count:
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     n = len(column)
+    _, offsets, data = column.buffers()
     if n == 0 or offsets is None:
         zero = np.zeros(n, np.int64)
         return np.zeros(0, np.uint8), zero, zero
+    big = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     o = np.frombuffer(offsets, np.int64 if big else np.int32)[column.offset:column.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    raw, start, end = raw[o[0]:o[-1]], o[:-1] - o[0], o[1:] - o[0]
-    if column.null_count:
-        valid = np.asarray(column.is_valid())
-        end = np.where(valid, end, start)
-    return raw, start, end
+    return raw[o[0]:o[-1]], o[:-1] - o[0], o[1:] - o[0]
 
 
 def texts_of(column: pa.Array) -> list[str]:

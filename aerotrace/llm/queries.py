@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerotrace.llm import byte_bpe, hamming_index, html_text, packing, token_files, topk_search, url_filter
-from aerotrace.llm.common import table
+from aerotrace.llm import byte_bpe, hamming_index, html_text, line_crf, packing, token_files, topk_search, toxicity, url_filter
+from aerotrace.llm.common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+GOOD, TOXIC = 0.5, 0.7
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,13 @@ def op5_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of two folds."""
+    docs = table(spark, sf_dir, "documents")
+    model = line_crf.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return line_crf.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every text."""
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
@@ -77,8 +85,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of two folds."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_html_text, op3_topk_search, op5_hamming_index, op7_byte_bpe, op8_url_filter, op9_packing)
+    f.__name__: f for f in (op1_token_files, op2_html_text, op3_topk_search, op5_hamming_index, op6_line_crf, op7_byte_bpe, op8_url_filter,
+                            op9_packing, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {}
