@@ -216,14 +216,14 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quali
     return fit_lines(lines, np.array([float(r["label"] > 0) for r in rows]))
 
 
-def score(docs: DataFrame, model: LineModel | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``carry`` of every row and its ``score``, the probability that its label is 1."""
+def score(docs: DataFrame, model: LineModel | None, carry: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """The columns ``carry`` of every row and, as ``out``, its score, the probability that its label is 1."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "__text"):
-                s = model.score(line_features(*bytes_of(batch.column("__text")))) if model else np.full(batch.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(s, pa.float64())], [*carry, "score"])
+            for batch in slices(whole, "text"):
+                s = model.score(line_features(*bytes_of(batch.column("text")))) if model else np.full(batch.num_rows, 0.5)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(s, pa.float64())], [*carry, out])
 
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*dict.fromkeys((*carry, "text"))).mapInArrow(run, f"{schema}, `{out}` double")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerotrace.llm import byte_bpe, hamming_index, html_text, line_crf, packing, token_files, topk_search, toxicity, url_filter
+from aerotrace.llm import byte_bpe, hamming_index, html_text, line_crf, ngram_join, packing, token_files, topk_search, toxicity, url_filter
 from aerotrace.llm.common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -32,6 +32,37 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT r, s FROM (
+    SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(generate_series(1, len(w) - 3), i -> array_to_string(w[i:i + 3], ' ')) END) AS s FROM words)),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+links AS (
+  SELECT a.r AS x, b.r AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r
+  HAVING 100 * count(*) >= 85 * ((SELECT n FROM sizes WHERE r = a.r) + (SELECT n FROM sizes WHERE r = b.r) - count(*))),
+reach(r, t) AS (SELECT r, r FROM words UNION SELECT reach.r, links.y FROM reach JOIN links ON links.x = reach.t)
+SELECT w.doc_id, coalesce(z.n, 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM words w LEFT JOIN sizes z ON z.r = w.r JOIN reach ON reach.r = w.r JOIN words o ON o.r = reach.t GROUP BY w.r, w.doc_id, z.n
+"""
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+t AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
+"""
+
+
 def op5_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest neighbours found of every hundredth vector among all others."""
     return hamming_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -93,8 +124,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_html_text, op3_topk_search, op5_hamming_index, op6_line_crf, op7_byte_bpe, op8_url_filter,
-                            op9_packing, op10_toxicity)
+    f.__name__: f for f in (op1_token_files, op2_html_text, op3_topk_search, op4_ngram_join, op5_hamming_index, op6_line_crf, op7_byte_bpe,
+                            op8_url_filter, op9_packing, op10_toxicity)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_topk_search": OP3_SQL, "op4_ngram_join": OP4_SQL}

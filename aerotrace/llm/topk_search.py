@@ -1,11 +1,12 @@
 """Exact top-k inner products by aggregation without random access.
 
 Within a tile, every dimension has one list of the candidates sorted by their component. A query reads
-each list from the end that adds most, all lists in step, some rows at a time. For every candidate it keeps
-a lower bound of its score, as if what it has not been seen in added the least that list can add. What
-the lists can still add above that least bounds every score from above. Reading stops when the k-th
-best lower bound is above the upper bound of every outsider; then the lists are read on only
-to complete the scores of those that remain. Components are whole numbers, so all sums are exact.
+each list from the end that adds most, all lists in step, ``STEPS`` times a part of each. For every candidate it keeps a
+lower bound of its score, as if each list in which it has not been seen added the least that it can. What the
+lists can still add above that least, at the place they are read to, bounds every score from above. Reading stops when the k-th best
+lower bound is above the upper bound of every outsider; then the lists are read on only to complete the
+scores of those that remain. What a step adds to the bounds of all candidates is one matrix product for all queries of
+a chunk. Components are whole numbers, so all sums are exact.
 
 Edge cases: vectors that are NULL or empty, or hold NULL or non-finite components, take no part; vectors of
 different lengths are not compared; fewer than k candidates are all returned; ties go to the
@@ -22,63 +23,69 @@ from pyspark.sql import functions as F
 
 from aerotrace.llm import vector_blocks
 
-STEPS = 16
+STEPS = 4
+CHUNK = 256
+
+
+def number_type(x: np.ndarray, y: np.ndarray) -> np.dtype:
+    """The fastest type in which all inner products of rows of x and y are exact."""
+    most = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * 4 * x.shape[1]
+    return np.dtype(np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64)
 
 
 class SortedLists:
-    """The lists of one candidate block: for each dimension the candidates by falling component."""
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        small = np.abs(values).max(initial=0) ** 2 * values.shape[1] < 2**30
-        self.ids, self.dtype = ids, np.int32 if small else np.int64
-        cols = np.ascontiguousarray(values.T).astype(self.dtype)
-        self.order = np.argsort(-cols, axis=1, kind="stable")
-        self.values = np.take_along_axis(cols, self.order, 1)
-        self.position = {int(i): p for p, i in enumerate(ids)}
-
-    def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best without ``query_id``, ties to the smaller id."""
-        n, wide = len(self.ids), np.abs(q).max(initial=0) * (np.abs(self.values).max(initial=0)) * len(q) >= 2**30
-        kind = np.int64 if wide else self.dtype
-        dims = np.flatnonzero(q)
-        forward = {d: q[d] > 0 for d in dims}
-        weight = {d: kind(q[d]) for d in dims}
-        least = {d: weight[d] * kind(self.values[d, -1 if forward[d] else 0]) for d in dims}
-        low = np.full(n, sum(int(v) for v in least.values()), kind)
-        own = self.position.get(int(query_id))
-        step, depth = max(1, -(-n // STEPS)), 0
-        open_ = np.ones(n, bool)  # candidates that can still be among the best
-        if own is not None:
-            open_[own] = False
-        k = min(k, int(open_.sum()))
-        if not k:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        while depth < n:
-            to, rest = min(n, depth + step), 0
-            for d in dims:
-                part = slice(depth, to) if forward[d] else slice(n - to, n - depth)
-                low[self.order[d, part]] += weight[d] * self.values[d, part].astype(kind) - least[d]
-                if to < n:
-                    rest += int(weight[d] * kind(self.values[d, to if forward[d] else n - to - 1])) - int(least[d])
-            depth = to
-            if depth < n and depth * 2 >= n:
-                kth = np.partition(low[open_], -k)[-k] if open_.sum() > k else low[open_].min()
-                open_ &= low.astype(np.int64) + rest >= kth
-                if open_.sum() <= k:
-                    break
-        if depth < n:  # resolve: the lists are read on for the candidates that remain
-            for d in dims:
-                part = slice(depth, n) if forward[d] else slice(0, n - depth)
-                rows = self.order[d, part]
-                mine = open_[rows]
-                low[rows[mine]] += weight[d] * self.values[d, part][mine].astype(kind) - least[d]
-        at = np.flatnonzero(open_)
-        score = low[at].astype(np.int64)
-        if len(at) > k:
-            keep = score >= np.partition(score, -k)[-k]
-            at, score = at[keep], score[keep]
-        best = np.lexsort((self.ids[at], -score))[:k]
-        return self.ids[at[best]], score[best]
+    """The lists of one candidate block, one a dimension, cut into the parts that a step reads.
+
+    ``gain[way][t]`` holds, for the candidates that step t reads in each list, what they add above the list's least; way 0 reads from
+    the largest component down, way 1 from the smallest up. ``ahead[way][t]`` is the first component of each list not read after step t.
+    """
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, kind: np.dtype):
+        n = len(ids)
+        self.ids, self.kind = ids, kind
+        order = np.argsort(-values, axis=0, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(n)[:, None], 0)
+        by_rank = np.take_along_axis(values, order, 0)
+        self.cuts = [(t + 1) * n // STEPS for t in range(STEPS)]
+        step = np.searchsorted(self.cuts, np.arange(n), side="right")
+        self.least = (by_rank[-1].astype(kind), by_rank[0].astype(kind))  # least of a list that weighs above, below zero
+        down, up = step[place], step[n - 1 - place]
+        self.gain = tuple([((values - worst) * (code == t)).astype(kind).T.copy() for t in range(STEPS)] for code, worst in ((down, by_rank[-1]), (up, by_rank[0])))
+        self.ahead = tuple([edge[min(c, n - 1)].astype(kind) for c in self.cuts] for edge in (by_rank, by_rank[::-1]))
+
+    def top(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of each query's k best, without its own id, ties to the smaller id."""
+        ways = np.maximum(q, 0).astype(self.kind), np.minimum(q, 0).astype(self.kind)
+        low = np.tile((ways[0] @ self.least[0] + ways[1] @ self.least[1])[:, None], (1, len(self.ids)))
+        own = query_ids[:, None] == self.ids[None, :] if len(self.ids) else np.zeros(low.shape, bool)
+        floor = low.min(initial=0) - 1
+        left, done = np.arange(len(q)), {}
+        for t in range(STEPS):
+            low += ways[0][left] @ self.gain[0][t] + ways[1][left] @ self.gain[1][t]
+            if t < STEPS // 2 or t == STEPS - 1 or low.shape[1] <= k:
+                continue
+            rest = ways[0][left] @ (self.ahead[0][t] - self.least[0]) + ways[1][left] @ (self.ahead[1][t] - self.least[1])
+            seen = np.where(own[left], floor, low)
+            kth = np.partition(seen, -k, axis=1)[:, -k]
+            open_ = (seen + rest[:, None] >= kth[:, None]) & ~own[left]
+            stop = open_.sum(1) <= max(k, len(self.ids) // 64)  # the rest cannot qualify: their lists are read on for the few that can
+            for j in np.flatnonzero(stop):
+                at, score = np.flatnonzero(open_[j]), low[j][open_[j]].copy()
+                for u in range(t + 1, STEPS):
+                    score += ways[0][left[j]] @ self.gain[0][u][:, at] + ways[1][left[j]] @ self.gain[1][u][:, at]
+                done[left[j]] = at, score
+            low, left = low[~stop], left[~stop]
+        for j, i in enumerate(left):
+            at = np.flatnonzero(~own[i])
+            done[i] = at, low[j][at]
+        for i in range(len(q)):
+            at, score = done[i]
+            if len(at) > k:
+                keep = score >= np.partition(score, -k)[-k]
+                at, score = at[keep], score[keep]
+            best = np.lexsort((self.ids[at], -score))[:k]
+            yield self.ids[at[best]], score[best].astype(np.int64)
 
 
 def quantised(vec: str, scale: int = 64) -> Column:
@@ -91,9 +98,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, key
     valid = rows.filter(vector_blocks.finite(vec)).select(key, quantised(vec, scale).alias("v"))
 
     def within(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> Iterator[tuple]:
-        lists = SortedLists(ids, vectors.astype(np.int64))
-        for i, query in zip(q_ids, q.astype(np.int64), strict=True):
-            found, score = lists.top(i, query, k)
-            yield np.full(len(found), i), found, score
+        lists = SortedLists(ids, vectors.astype(np.int64), number_type(vectors, q))
+        for at in range(0, len(q), CHUNK):
+            for i, (found, score) in zip(q_ids[at:at + CHUNK], lists.top(q_ids[at:at + CHUNK], q[at:at + CHUNK].astype(np.int64), k), strict=True):
+                yield np.full(len(found), i), found, score
 
     return vector_blocks.search(valid, valid.filter(is_query), key, "v", k, within, "long", "desc")

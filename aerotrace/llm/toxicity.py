@@ -313,8 +313,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
     return ToxicityModel(whole, weights, letters)
 
 
-def score(docs: DataFrame, model: ToxicityModel | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``carry`` of every row and its ``score``, the probability of the toxic label."""
+def score(docs: DataFrame, model: ToxicityModel | None, carry: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """The columns ``carry`` of every row and, as ``out``, its score, the probability of the toxic label."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -322,12 +322,12 @@ def score(docs: DataFrame, model: ToxicityModel | None, carry: tuple[str, ...] =
         m = shared.value
         reader = Reader(m.evidence, m.letters) if m else None
         for whole in batches:
-            for batch in slices(whole, "__text"):
+            for batch in slices(whole, "text"):
                 if reader:
-                    f = np.array([reader.features(t) for t in texts_of(batch.column("__text"))])
+                    f = np.array([reader.features(t) for t in texts_of(batch.column("text"))])
                     s = 1 / (1 + np.exp(-np.clip(f @ m.weights, -30, 30)))
                 else:
                     s = np.zeros(batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(s, pa.float64())], [*carry, "score"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(s, pa.float64())], [*carry, out])
 
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*dict.fromkeys((*carry, "text"))).mapInArrow(run, f"{schema}, `{out}` double")
