@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,6 +31,13 @@ def cosine(a, b) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def vec_mean(col: str, dim: int) -> Column:
-    """Aggregate: element-wise mean of a fixed-width array column, one partial sum per element."""
-    return F.array(*[F.avg(F.col(col)[i].cast("double")) for i in range(dim)])
+def by_element(df: DataFrame, by: Sequence[str], col: str, agg: Callable[[Column], Column], out: str) -> DataFrame:
+    """Element-wise aggregate of an array column of any length, one row per group.
+
+    Each element is its own partial aggregate, so a group of any size reduces before the shuffle. A group
+    without elements has NULL.
+    """
+    by = list(by)
+    e = df.select(*by, F.posexplode_outer(col).alias("__i", "__x")).groupBy(*by, "__i").agg(agg(F.col("__x").cast("double")).alias("__v"))
+    items = F.array_sort(F.collect_list(F.when(F.col("__i").isNotNull(), F.struct("__i", "__v"))))
+    return e.groupBy(*by).agg(items.alias("__a")).select(*by, F.when(F.size("__a") > 0, F.transform("__a", lambda x: x["__v"])).alias(out))

@@ -27,7 +27,7 @@ def _around() -> Column:
 
 
 def nn_distance(query: DataFrame, ref: DataFrame, by: Sequence[str] = ("scene",), ids: Sequence[str] = ("pt",), cell: float = 0.25,
-                max_r: float | None = None, max_levels: int = 40) -> DataFrame:
+                max_r: float | None = None) -> DataFrame:
     """Distance from each query point to its nearest reference point, as ``distance``.
 
     Cells of one size are searched with their neighbours; a distance within one cell width is
@@ -41,7 +41,7 @@ def nn_distance(query: DataFrame, ref: DataFrame, by: Sequence[str] = ("scene",)
     have = refs.select(*by).distinct()
     left = cut(query.select(*keys, *XYZ).join(have, by, "left_semi"))
     done, size = query.select(*keys).join(have, by, "left_anti").withColumn("distance", F.lit(None).cast("double")), cell
-    for _ in range(max_levels):
+    while True:
         cells = refs.withColumns(_cell(size)).withColumn("__b", F.pmod(F.xxhash64(*XYZ), F.lit(2 ** 31 - 1)))
         n = cells.groupBy(*by, "cx", "cy", "cz").agg(F.count("*").alias("__n"))
         packed = cells.join(n, [*by, "cx", "cy", "cz"]).groupBy(*by, "cx", "cy", "cz", F.pmod("__b", F.ceil(F.col("__n") / BLOCK)).alias("__b")).agg(
@@ -61,8 +61,6 @@ def nn_distance(query: DataFrame, ref: DataFrame, by: Sequence[str] = ("scene",)
             done = done.unionByName(left.select(*keys).withColumn("distance", F.lit(None).cast("double")))
             break
         size *= 2
-    else:
-        raise RuntimeError("nearest neighbour search did not settle")
     if max_r is not None:
         done = done.withColumn("distance", F.when(F.col("distance") <= max_r, F.col("distance")))
     return done
@@ -153,7 +151,7 @@ def scene_scale(points: DataFrame, by: Sequence[str] = ("scene",), fallback: flo
     return d.select(*by, F.when((F.col("__n") >= 2) & (diag > 0), diag).otherwise(fallback).alias("scale"))
 
 
-def thin(points: DataFrame, radius: float, by: Sequence[str] = ("scene",), ids: Sequence[str] = ("pt",), seed: int = 42, max_rounds: int = 200) -> DataFrame:
+def thin(points: DataFrame, radius: float, by: Sequence[str] = ("scene",), ids: Sequence[str] = ("pt",), seed: int = 42) -> DataFrame:
     """Subset with no two points within ``radius``, to which no further point can be added.
 
     Rounds keep every point whose seeded hash is the lowest in its neighbourhood and drop those
@@ -174,7 +172,7 @@ def thin(points: DataFrame, radius: float, by: Sequence[str] = ("scene",), ids:
             d = d.withColumn("__o", F.explode(s)).withColumn(k, F.col(k) + F.col("__o")).drop("__o")
         return d
 
-    for _ in range(max_rounds):
+    while True:
         top = left.groupBy(*cell).agg(F.min(F.struct("__h", *XYZ)).alias("t"))
         a = near(top.select(*cell, F.col("t").alias("a")))
         beaten = a.join(top, cell).filter((F.col("t.__h") < F.col("a.__h")) & (sq("a", "t") <= radius * radius)).select(*by, F.col("a.__h").alias("__h")).distinct()
@@ -186,8 +184,6 @@ def thin(points: DataFrame, radius: float, by: Sequence[str] = ("scene",), ids:
         left = cut(left.join(gone, [*by, *ids], "left_anti"))
         if left.isEmpty():
             break
-    else:
-        raise RuntimeError("thinning did not settle")
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)
@@ -203,21 +199,29 @@ def align_first(poses: DataFrame, by: Sequence[str] = ("scene",), order: str = "
     return poses.join(first, list(by)).withColumn(m, rot.matmul(F.col(m), F.col("__inv"))).drop("__inv")
 
 
-MAX_FRAMES = 100
+PAIR_BLOCK = 64
 
 
-def pose_errors(pred: DataFrame, gt: DataFrame, by: Sequence[str] = ("scene",), order: str = "view", max_frames: int = MAX_FRAMES) -> DataFrame:
-    """Rotation and translation angle errors of every pair of views of a scene.
+def pairs(df: DataFrame, by: Sequence[str], order: str, left: Sequence[str], right: Sequence[str]) -> DataFrame:
+    """Every pair i < j of the members of each group, with columns ``left`` of i and ``right`` of j.
 
-    As in the benchmark, scenes are first sampled to ``max_frames`` views, which bounds the pairs.
+    The pairs are the result. Members are dealt to blocks by a hash, so a large group is paired by many tasks, a block against a block.
     """
     by = list(by)
+    n = df.groupBy(*by).agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("__nb"))
+    d = cut(df.join(n, by).withColumn("__b", F.pmod(F.xxhash64(order), F.col("__nb")).cast("int")))
+    other = F.explode(F.sequence(F.lit(0), F.col("__nb") - 1))
+    a = d.select(*by, F.col(order).alias("i"), *left, F.col("__b").alias("__bi"), other.alias("__bj"))
+    b = d.select(*by, F.col(order).alias("j"), *right, F.col("__b").alias("__bj"), other.alias("__bi"))
+    return a.join(b, [*by, "__bi", "__bj"]).filter("i < j").drop("__bi", "__bj")
+
+
+def pose_errors(pred: DataFrame, gt: DataFrame, by: Sequence[str] = ("scene",), order: str = "view") -> DataFrame:
+    """Rotation and translation angle errors of every pair of views of a scene; sample the views first where fewer pairs are wanted."""
+    by = list(by)
     both = align_first(pred, by, order).withColumnRenamed("m", "mp").join(align_first(gt, by, order), [*by, order])
-    both = cut(hash_sample(both, max_frames, by, [order]))
     both = both.withColumns({"ip": rot.se3_inverse(F.col("mp")), "ig": rot.se3_inverse(F.col("m"))})
-    a = both.select(*by, F.col(order).alias("i"), "ip", "ig")
-    b = both.select(*by, F.col(order).alias("j"), "mp", "m")
-    d = a.join(b, by).filter("i < j")
+    d = pairs(both, by, order, ["ip", "ig"], ["mp", "m"])
     d = d.withColumns({"rp": rot.matmul(F.col("ip"), F.col("mp")), "rg": rot.matmul(F.col("ig"), F.col("m"))}).select(*by, "i", "j", "rp", "rg")
     t = lambda m: [F.col(m)[3], F.col(m)[7], F.col(m)[11]]
     return d.withColumns({"r_err": rot.rot_angle(F.col("rg"), F.col("rp")), "t_err": rot.trans_angle(t("rg"), t("rp"))}).drop("rp", "rg")

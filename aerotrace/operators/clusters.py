@@ -25,7 +25,7 @@ DBSCAN_EPS, DBSCAN_MIN = 1.0, 3
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None,
-               node: str = "node", max_rounds: int = 64) -> DataFrame:
+               node: str = "node") -> DataFrame:
     """Connected components of an undirected edge list: every node with its smallest member.
 
     Alternates the two star contractions (link larger neighbours to the smallest, then smaller
@@ -35,11 +35,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: Data
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v").distinct()
     e = cut(e)
     seen = _fingerprint(e)
-    for _ in range(max_rounds):
-        if seen[0] == 0:
-            break
+    while seen[0]:
+        # what a join reads is written out first, so that the many edges of one node can be split among tasks
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -48,8 +47,6 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: Data
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias(node)).distinct().withColumn("component", F.col(node))
     out = e.select(F.col("u").alias(node), F.col("v").alias("component")).unionByName(roots)
     if nodes is not None:
@@ -213,13 +210,13 @@ def density_clusters(df: DataFrame, by: Sequence[str], order: str = "frame", lat
     heavy = pts.groupBy(*ckey).agg(F.sum("w").alias("__cw"))
     pts = cut(pts.join(heavy, ckey).withColumn("dense", F.col("__cw") >= min_points).drop("__cw"))
 
-    thin = pts.filter("not dense").select(*by, F.col("ord").alias("sord"), F.col("x").alias("sx"), F.col("y").alias("sy"), "ci", "cj")
+    thin = pts.filter("not dense").select(*by, F.struct("ord", "lat", "lon").alias("sord"), F.col("x").alias("sx"), F.col("y").alias("sy"), "ci", "cj")
     thin = thin.withColumn("__di", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("__dj", F.explode(F.sequence(F.lit(-2), F.lit(2))))
     thin = thin.withColumns({"ci": F.col("ci") + F.col("__di"), "cj": F.col("cj") + F.col("__dj")}).drop("__di", "__dj")
     sq = lambda ax, ay, bx, by_: (ax - bx) * (ax - bx) + (ay - by_) * (ay - by_)
     near = sq(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")) <= eps * eps
     counts = thin.join(pts.select(*ckey, "x", "y", "w"), ckey).filter(near).groupBy(*by, "sord").agg(F.sum("w").alias("__nb"))
-    pts = pts.join(counts.withColumnRenamed("sord", "ord"), [*by, "ord"], "left")
+    pts = pts.join(counts.select(*by, "sord.*", "__nb"), [*by, "ord", "lat", "lon"], "left")
     pts = cut(pts.withColumn("core", F.col("dense") | (F.coalesce("__nb", F.lit(0)) >= min_points)).drop("__nb", "dense"))
 
     core = pts.filter("core")
@@ -255,11 +252,11 @@ def density_clusters(df: DataFrame, by: Sequence[str], order: str = "frame", lat
     cellc = comp.join(label, "component").select(*ckey, "cluster")
 
     core_l = core.join(cellc, ckey)
-    border = pts.filter("not core").select(*by, F.col("ord").alias("sord"), F.col("x").alias("sx"), F.col("y").alias("sy"), "ci", "cj")
+    border = pts.filter("not core").select(*by, F.struct("ord", "lat", "lon").alias("sord"), F.col("x").alias("sx"), F.col("y").alias("sy"), "ci", "cj")
     border = border.withColumn("__di", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("__dj", F.explode(F.sequence(F.lit(-2), F.lit(2))))
     border = border.withColumns({"ci": F.col("ci") + F.col("__di"), "cj": F.col("cj") + F.col("__dj")}).drop("__di", "__dj")
     border = border.join(core_l.select(*ckey, "x", "y", "cluster"), ckey).filter(near).groupBy(*by, "sord").agg(F.min("cluster").alias("cluster"))
-    rest = pts.filter("not core").join(border.withColumnRenamed("sord", "ord"), [*by, "ord"], "left")
+    rest = pts.filter("not core").join(border.select(*by, "sord.*", "cluster"), [*by, "ord", "lat", "lon"], "left")
     cols = [*by, "lat", "lon", "w", "ord", "core", "cluster"]
     return core_l.select(*cols).unionByName(rest.select(*cols))
 

@@ -63,10 +63,10 @@ def mask_background(df: DataFrame, black: bool = True, white: bool = True) -> Da
 def mask_depth(pred: DataFrame, gt: DataFrame, keys: Sequence[str] = (*VIEW, "u", "v"), scale: float = 1.0) -> DataFrame:
     """Predicted depth where the truth is usable, NULL elsewhere; the scale is applied last.
 
-    ``gt`` has ``gt_depth`` and ``occluded``.
+    ``gt`` has ``gt_depth`` and ``occluded``. A pixel without a row of truth, or with a NULL or NaN one, has no usable truth.
     """
     d = pred.join(gt, list(keys), "left")
-    ok = ~F.coalesce(F.col("occluded"), F.lit(False)) & (F.coalesce("gt_depth", F.lit(1.0)) != 0) & (F.coalesce("gt_depth", F.lit(1.0)) != float("inf")) & finite("depth")
+    ok = ~F.coalesce(F.col("occluded"), F.lit(False)) & F.coalesce(finite("gt_depth") & (F.col("gt_depth") != 0), F.lit(False)) & finite("depth")
     return d.withColumn("depth", F.when(ok, F.col("depth") * scale)).drop("gt_depth", "occluded")
 
 
@@ -86,25 +86,25 @@ def depth_stats(df: DataFrame, keys: Sequence[str] = VIEW) -> DataFrame:
 def stretch(df: DataFrame, keys: Sequence[str] = VIEW, lo: float = 0.02, hi: float = 0.98) -> DataFrame:
     """Depth between two percentiles of its frame as 0-1."""
     keys = list(keys)
-    d = df.join(exact_percentile(df, keys, "depth", {"__lo": lo, "__hi": hi}), keys)
+    d = df.join(exact_percentile(df, keys, "depth", {"__lo": lo, "__hi": hi}), keys, "left")
     flat = F.col("__hi") - F.col("__lo") < 1e-12
     low = df.groupBy(*keys).agg(F.min("depth").alias("__min"))
-    d = d.join(low, keys).withColumns({"__lo": F.when(flat, F.col("__min")).otherwise(F.col("__lo")), "__hi": F.when(flat, F.col("__min") + 1e-6).otherwise(F.col("__hi"))})
+    d = d.join(low, keys, "left").withColumns({"__lo": F.when(flat, F.col("__min")).otherwise(F.col("__lo")), "__hi": F.when(flat, F.col("__min") + 1e-6).otherwise(F.col("__hi"))})
     x = (F.col("depth") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
-    return d.withColumn("norm", F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))).drop("__lo", "__hi", "__min")
+    return d.withColumn("norm", F.when(F.col("depth").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))).drop("__lo", "__hi", "__min")
 
 
 def rank_norm(df: DataFrame, keys: Sequence[str] = VIEW, bins: int = 1 << 16) -> DataFrame:
-    """Cumulative share of the frame's pixels at or below each pixel's depth bin."""
+    """Cumulative share of the frame's pixels at or below each pixel's depth bin; NULL for a pixel without depth."""
     keys = list(keys)
     ext = df.groupBy(*keys).agg(F.min("depth").alias("__lo"), F.max("depth").alias("__hi"), F.count("depth").alias("__n"))
     d = df.join(ext, keys)
     span = F.col("__hi") - F.col("__lo")
-    d = d.withColumn("__bin", F.when(span < 1e-12, 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("depth") - F.col("__lo")) * (bins - 1) / span))))
-    hist = d.groupBy(*keys, "__bin").agg(F.count("*").alias("__c"))
+    d = d.withColumn("__bin", F.when(F.col("depth").isNull(), None).when(span < 1e-12, 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("depth") - F.col("__lo")) * (bins - 1) / span))))
+    hist = d.filter(F.col("depth").isNotNull()).groupBy(*keys, "__bin").agg(F.count("*").alias("__c"))
     cum = hist.withColumn("__cum", F.sum("__c").over(Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0))).drop("__c")
-    d = d.join(cum, [*keys, "__bin"])
-    return d.withColumn("norm", F.when(span < 1e-12, 0.0).otherwise(F.col("__cum") / F.col("__n"))).drop("__lo", "__hi", "__n", "__bin", "__cum")
+    d = d.join(cum, [*keys, "__bin"], "left")
+    return d.withColumn("norm", F.when(F.col("depth").isNotNull(), F.when(span < 1e-12, 0.0).otherwise(F.col("__cum") / F.col("__n")))).drop("__lo", "__hi", "__n", "__bin", "__cum")
 
 
 def conf_threshold(df: DataFrame, by: Sequence[str] = ("scene",), base: float = 1.05, lo: float = 0.1, hi: float = 0.9) -> DataFrame:
@@ -158,20 +158,20 @@ def consistent_points(df: DataFrame, cams: DataFrame, dist: float = 0.2, min_vie
     return g.filter(F.col("n_views") >= min_views)
 
 
-def point_observations(df: DataFrame, cams: DataFrame, pct: float = 0.4, model_wh: tuple[int, int] = (40, 30)) -> DataFrame:
+def point_observations(df: DataFrame, cams: DataFrame, pct: float = 0.4) -> DataFrame:
     """Which pixel of which view saw each point, in pixels of the original images.
 
-    ``cams`` also has ``orig_w`` and ``orig_h``. Point numbers follow (view, v, u) within a scene.
+    ``cams`` also has the sizes ``orig_w`` and ``orig_h`` of the original images and ``model_w`` and ``model_h`` of the depth maps. Point numbers follow (view, v, u) within a scene.
     """
     thr = exact_percentile(df, ["scene"], "conf", {"threshold": pct})
     d = unproject_depth(df, cams, thr)
-    size = model_wh[0] * model_wh[1]
-    place = (F.col("view") * size + F.col("v") * model_wh[0] + F.col("u")).cast("bigint")
-    d = d.withColumn("__place", place)
+    widest = cams.groupBy("scene").agg(F.max("model_w").cast("bigint").alias("__w"), F.max(F.col("model_h").cast("bigint")).alias("__h"))
+    place = (F.col("view") * F.col("__w") * F.col("__h") + F.col("v") * F.col("__w") + F.col("u")).cast("bigint")
+    d = d.join(widest, "scene").withColumn("__place", place).drop("__w", "__h")
     d = ordered.running_sum(d, ["scene"], ["__place"], F.floor(F.col("__place") / 4096), F.lit(1), "point_id")
-    d = d.join(cams.select("scene", "view", "orig_w", "orig_h", "fx", "fy"), ["scene", "view"])
-    sx, sy = F.col("orig_w") / model_wh[0], F.col("orig_h") / model_wh[1]
-    return d.withColumns({"orig_u": F.col("u") * sx, "orig_v": F.col("v") * sy, "orig_fx": F.col("fx") * sx, "orig_fy": F.col("fy") * sy}).drop("__place", "fx", "fy", "orig_w", "orig_h")
+    d = d.join(cams.select("scene", "view", "orig_w", "orig_h", "model_w", "model_h", "fx", "fy"), ["scene", "view"])
+    sx, sy = F.col("orig_w") / F.col("model_w"), F.col("orig_h") / F.col("model_h")
+    return d.withColumns({"orig_u": F.col("u") * sx, "orig_v": F.col("v") * sy, "orig_fx": F.col("fx") * sx, "orig_fy": F.col("fy") * sy}).drop("__place", "fx", "fy", "orig_w", "orig_h", "model_w", "model_h")
 
 
 def pixel_quality(pixels: DataFrame, h: int, w: int, keys: Sequence[str] = ("image_id",), value: str = "gray") -> DataFrame:

@@ -27,56 +27,57 @@ def galleries(obs: DataFrame, keys: Sequence[str], col: str = "embedding", order
     return obs.groupBy(*keys).agg(F.transform(g, lambda x: x["e"]).alias("gallery"))
 
 
-def _separation(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """Separation score and support of two stacks of vectors.
+def separations(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Separation scores and supports of a batch of gallery pairs, arrays of (pair, entry, dimension).
 
-    Differences over all pairs have mean mean(a)-mean(b) and variance var(a)+var(b), so pairs are
-    never formed.
+    The differences over all pairs of entries have mean mean(a) - mean(b) and variance var(a) + var(b), so they are never
+    formed. Dimensions are ranked by signal over noise and by shared magnitude; the best ``TOP_DIMS`` count.
     """
-    if len(a) == 0 or len(b) == 0:
-        return 0.0, 0.0
-    gap = np.abs(a.mean(0) - b.mean(0))
-    snr = gap / (np.sqrt(a.var(0) + b.var(0)) + EPS)
-    mutual = np.abs(a).mean(0) * np.abs(b).mean(0)
-    rank = 0.45 * snr / (snr.max() + EPS) + 0.55 * mutual / (mutual.max() + EPS)
-    top = np.argsort(rank)[::-1][:TOP_DIMS]
-    z = gap / (a.std(0) + b.std(0) + EPS)
-    ua, ub = a[:, top], b[:, top]
-    ua = ua / (np.linalg.norm(ua, axis=1, keepdims=True) + EPS)
-    ub = ub / (np.linalg.norm(ub, axis=1, keepdims=True) + EPS)
-    sim = ua @ ub.T
-    best = lambda s: float(np.mean(np.sort(s, axis=1)[:, -SUPPORT_TOP:] ** 2))
-    support = (best(sim) + best(sim.T)) / 2.0
-    score = (W_SEPARATION * float(np.tanh(snr[top]).mean()) + W_OVERLAP * float((1.0 - np.exp(-0.5 * z * z))[top].mean()) + W_SUPPORT * (1.0 - support))
-    return score, support
-
-
-def _baseline(g: np.ndarray) -> float:
-    """Mean separation of five seeded half splits of one gallery."""
-    if len(g) < 2:
-        return 0.0
-    rng = np.random.default_rng(42)
-    half = max(1, len(g) // 2)
-    scores = []
-    for _ in range(SPLITS):
-        idx = rng.permutation(len(g))
-        scores.append(_separation(g[idx[:half]], g[idx[half:]])[0])
-    return float(np.mean(scores))
+    (mean_a, mean_b), (var_a, var_b) = (a.mean(1), b.mean(1)), (a.var(1), b.var(1))
+    gap = np.abs(mean_a - mean_b)
+    relative = lambda x: x / (x.max(1, keepdims=True) + EPS)
+    signal = gap / (np.sqrt(var_a + var_b) + EPS)
+    weight = 0.45 * relative(signal) + 0.55 * relative(np.abs(a).mean(1) * np.abs(b).mean(1))
+    top = np.argsort(weight, axis=1)[:, ::-1][:, :TOP_DIMS]
+    apart = 1.0 - np.exp(-0.5 * (gap / (np.sqrt(var_a) + np.sqrt(var_b) + EPS)) ** 2)
+    chosen = lambda x: np.take_along_axis(x, top, 1)
+    unit = lambda x: x / (np.linalg.norm(x, axis=2, keepdims=True) + EPS)
+    cosine = unit(np.take_along_axis(a, top[:, None, :], 2)) @ unit(np.take_along_axis(b, top[:, None, :], 2)).transpose(0, 2, 1)
+    closest = [np.sort(c, axis=2)[:, :, -SUPPORT_TOP:] for c in (cosine, cosine.transpose(0, 2, 1))]
+    support = sum((c * c).mean((1, 2)) for c in closest) / 2.0
+    return W_SEPARATION * np.tanh(chosen(signal)).mean(1) + W_OVERLAP * chosen(apart).mean(1) + W_SUPPORT * (1.0 - support), support
 
 
 def _stack(x) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in x])
+    return np.stack([np.asarray(v, dtype=np.float64) for v in x]) if len(x) else np.empty((0, 0))
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    if not len(a) or not len(b):
+        return 0.0, 0.0
+    score, support = separations(a[None], b[None])
+    return float(score[0]), float(support[0])
+
+
+def half_split_score(g: np.ndarray) -> float:
+    """Mean separation of ``SPLITS`` seeded halvings of one gallery, all halvings in one batch."""
+    if len(g) < 2:
+        return 0.0
+    draw = np.random.default_rng(42)
+    order = np.stack([draw.permutation(len(g)) for _ in range(SPLITS)])
+    left, right = np.split(g[order], [len(g) // 2], axis=1)
+    return float(separations(left, right)[0].mean())
 
 
 @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("support", T.DoubleType())]))
 def separation(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Separation score and support of two gallery columns."""
-    return pd.DataFrame([_separation(_stack(x), _stack(y)) for x, y in zip(a, b)], columns=["score", "support"])
+    return pd.DataFrame([_pair(_stack(x), _stack(y)) for x, y in zip(a, b)], columns=["score", "support"])
 
 
 @F.pandas_udf(T.DoubleType())
 def self_baseline(g: pd.Series) -> pd.Series:
-    return pd.Series([_baseline(_stack(x)) for x in g])
+    return pd.Series([half_split_score(_stack(x)) for x in g])
 
 
 def compare_galleries(pairs: DataFrame, mode: str = "fused") -> DataFrame:
@@ -103,7 +104,7 @@ def compare_galleries(pairs: DataFrame, mode: str = "fused") -> DataFrame:
 
 
 def reference_view(views: DataFrame, strategy: str = "saddle_balanced", by: Sequence[str] = ("scene",), order: str = "view",
-                   col: str = "embedding", dim: int = 64) -> DataFrame:
+                   col: str = "embedding") -> DataFrame:
     """View a scene is anchored to.
 
     The mean similarity of a view to the others follows from the sum of all unit vectors, so the
@@ -120,8 +121,8 @@ def reference_view(views: DataFrame, strategy: str = "saddle_balanced", by: Sequ
     u = views.withColumns({"__len": vec.norm(col), "__u": vec.l2norm(col, 0.0)}).select(*by, order, "__len", "__u")
     single = pos.filter("__n = 1").select(*by, F.col("__first").alias("reference"))
     if strategy == "saddle_balanced":
-        total = u.groupBy(*by).agg(F.array(*[F.sum(F.col("__u")[i]) for i in range(dim)]).alias("__sum"), F.count("*").alias("__n")).filter("__n > 1")
-        d = u.join(total, by)
+        total = vec.by_element(u, by, "__u", F.sum, "__sum").join(pos.select(*by, "__n").filter("__n > 1"), by)
+        d, dim = u.join(total, by), F.size("__u")
         mean = F.aggregate("__u", F.lit(0.0), lambda a, x: a + x) / dim
         var = F.aggregate("__u", F.lit(0.0), lambda a, x: a + x * x)
         d = d.withColumns({"__sim": (vec.dot("__u", "__sum") - 1.0) / (F.col("__n") - 1), "__mean": mean, "__sq": var})

@@ -17,6 +17,9 @@ RECENT, TOP_CONF, TOP_SHARP, MIN_GALLERY = 15, 15, 15, 2
 
 TRACK_KEYS = ("mission_id", "tid")
 
+# Identities a probe meets at a time.
+RANK_BLOCK = 4096
+
 
 def _ranked(df: DataFrame, keys: Sequence[str], n: int, *order: Column) -> DataFrame:
     """First ``n`` rows per key. One rank per pass lets Spark cut each task to ``n`` before the shuffle."""
@@ -73,7 +76,10 @@ def gid_summary_asof(buffers: DataFrame, k: int | None = None, keys: Sequence[st
     seg = F.floor(F.col("update_no") / 1024)
     # running min and max per segment plus a carry of the segment extremes
     by, ks = list(keys), [*keys, "__seg"]
-    d = buffers.withColumn("__seg", seg)
+    d = buffers
+    for c in ("tid", "cumulative_gallery"):  # the newest known value up to each update
+        d = ordered.carry(d, by, ["update_no"], seg, F.col(c), prev=f"__known_{c}")
+    d = d.withColumn("__seg", seg)
     w = Window.partitionBy(*ks).orderBy("update_no").rowsBetween(Window.unboundedPreceding, 0)
     up = Window.partitionBy(*by).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
     spec = {"best_conf": F.max, "best_sharpness": F.max, "first_frame": F.min, "last_frame": F.max}
@@ -82,8 +88,8 @@ def gid_summary_asof(buffers: DataFrame, k: int | None = None, keys: Sequence[st
                              F.coalesce(F.sum("__s_n").over(up), F.lit(0)).alias("__c_n"))
     d = d.join(seg_ext, ks, "left")
     run = {c: (F.greatest if fn is F.max else F.least)(fn(c).over(w), F.col(f"__c_{c}")) for c, fn in spec.items()}
-    return d.select(*by, "update_no", "event", (F.count("*").over(w) + F.col("__c_n")).alias("updates"), "tid",
-                    F.col("cumulative_gallery").alias("gallery_size"), *[v.alias(c) for c, v in run.items()])
+    return d.select(*by, "update_no", "event", (F.count("*").over(w) + F.col("__c_n")).alias("updates"), F.col("__known_tid").alias("tid"),
+                    F.coalesce("__known_cumulative_gallery", F.lit(0)).alias("gallery_size"), *[v.alias(c) for c, v in run.items()])
 
 
 def gid_notices(gids: DataFrame, by: Sequence[str] = ("mission_id", "gid"), order: str = "seq") -> DataFrame:
@@ -109,30 +115,29 @@ def median_position(df: DataFrame, by: Sequence[str] = TRACK_KEYS) -> DataFrame:
     return la.join(exact_percentile(df, by, "lon", {"lon": 0.5}), by)
 
 
-def centroid(df: DataFrame, by: Sequence[str] = TRACK_KEYS, col: str = "embedding", dim: int = 64) -> DataFrame:
+def centroid(df: DataFrame, by: Sequence[str] = TRACK_KEYS, col: str = "embedding") -> DataFrame:
     """Unit-length mean vector; NULL when the mean vanishes."""
-    return df.groupBy(*by).agg(vec.vec_mean(col, dim).alias("__m")).withColumn("centroid", vec.l2norm("__m")).drop("__m")
+    return vec.by_element(df, by, col, F.avg, "__m").withColumn("centroid", vec.l2norm("__m")).drop("__m")
 
 
-def rank_by_distance(gids: DataFrame, probes: DataFrame, probe_key: str = "probe_id", max_probes: int = 10_000) -> DataFrame:
-    """Identities by distance from each probe point, unplaced ones last.
+def rank_by_distance(gids: DataFrame, probes: DataFrame, probe_key: str = "probe_id", gid: str = "gid") -> DataFrame:
+    """All identities by distance from each probe point, with their ``rank`` from 1; unplaced ones come last.
 
-    Probes are coordinates typed by an operator; the caller's table is checked against
-    ``max_probes`` and broadcast, larger ones are refused rather than multiplied out.
+    The result has a row for every probe and identity. Both sides are dealt to blocks by a hash, and a probe meets the
+    identities block by block.
     """
-    n = probes.limit(max_probes + 1).count()
-    if n > max_probes:
-        raise ValueError(f"more than {max_probes} probes; rank in parts")
-    packed = probes.withColumn("__one", F.lit(1)).groupBy("__one").agg(F.collect_list(F.struct(F.col(probe_key), F.col("lat").alias("plat"), F.col("lon").alias("plon"))).alias("__p"))
-    d = gids.withColumn("__one", F.lit(1)).join(F.broadcast(packed), "__one").withColumn("__q", F.explode("__p"))
-    d = d.withColumn("distance", geo.haversine("lat", "lon", F.col("__q.plat"), F.col("__q.plon"), geo.R_EARTH_MEAN))
-    return d.select(F.col(f"__q.{probe_key}").alias(probe_key), *gids.columns, "distance")
+    blocks = max(1, -(-gids.count() // RANK_BLOCK))
+    g = gids.withColumn("__b", F.pmod(F.xxhash64(gid), F.lit(blocks)).cast("int"))
+    p = probes.select(F.col(probe_key), F.col("lat").alias("__plat"), F.col("lon").alias("__plon"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
+    d = g.join(p, "__b").withColumn("distance", geo.haversine("lat", "lon", F.col("__plat"), F.col("__plon"), geo.R_EARTH_MEAN))
+    w = Window.partitionBy(probe_key).orderBy(F.col("distance").asc_nulls_last(), gid)
+    return d.withColumn("rank", F.row_number().over(w)).select(probe_key, *gids.columns, "distance", "rank")
 
 
 def nearest_gid(gids: DataFrame, probes: DataFrame, probe_key: str = "probe_id") -> DataFrame:
     """Closest placed identity of each probe."""
-    d = rank_by_distance(gids, probes, probe_key).filter(F.col("distance").isNotNull())
-    return d.groupBy(probe_key).agg(F.min_by(F.struct("gid", "distance"), F.struct("distance", "gid")).alias("__b")).select(probe_key, "__b.*")
+    d = rank_by_distance(gids, probes, probe_key)
+    return d.filter((F.col("rank") == 1) & F.col("distance").isNotNull()).select(probe_key, "gid", "distance")
 
 
 def append_new_crops(new: DataFrame, existing: DataFrame, keys: Sequence[str] = ("mission_id", "gid", "frame", "conf", "sharpness")) -> DataFrame:

@@ -258,14 +258,19 @@ def carry_fit(df: DataFrame, value: str, by: Sequence[str] = ("mission_id",), or
 
 def ema(df: DataFrame, value: str, alpha: float, by: Sequence[str] = ("mission_id",), order: str = "frame",
         segment: Column | None = None, out: str = "ema") -> DataFrame:
-    """Exponential moving average weighted ``alpha`` on the new value, started at the first value."""
+    """Exponential moving average weighted ``alpha`` on the new value, started at the first value.
+
+    A row without a value keeps the average as it is; rows before the first value have none.
+    """
     by = list(by)
     seg = F.floor(F.col(order) / 4096) if segment is None else segment
-    start = df.groupBy(*by).agg(F.min(order).alias("__o0"))
-    d = df.join(start, by, "left").withColumn("__first", F.col(order) == F.col("__o0")).drop("__o0")
-    a = F.when(F.col("__first"), 0.0).otherwise(1.0 - alpha)
-    b = F.when(F.col("__first"), F.col(value)).otherwise(alpha * F.col(value))
-    return ordered.linear_scan(d, by, [order], seg, a, b, out).drop("__first")
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    start = df.filter(known).groupBy(*by).agg(F.min(order).alias("__o0"))
+    d = df.join(start, by, "left")
+    a = F.when(~known, 1.0).when(F.col(order) == F.col("__o0"), 0.0).otherwise(1.0 - alpha)
+    b = F.when(~known, 0.0).when(F.col(order) == F.col("__o0"), F.col(value)).otherwise(alpha * F.col(value))
+    d = ordered.linear_scan(d, by, [order], seg, a, b, out)
+    return d.withColumn(out, F.when(F.col(order) >= F.col("__o0"), F.col(out))).drop("__o0")
 
 
 def log_position(track: DataFrame, live: DataFrame | None = None, by: Sequence[str] = ("mission_id",)) -> DataFrame:

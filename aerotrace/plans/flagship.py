@@ -18,7 +18,7 @@ def sightings(t) -> DataFrame:
 
 def casualty_positions(t) -> DataFrame:
     """Tracks of person boxes with the medoid of their ground positions."""
-    seen = sightings(t).filter("label = 'person'").dropDuplicates(["mission_id", "frame", "det_id"])
+    seen = sightings(t).filter("label = 'person'")
     tracked = tracks.track_greedy(seen)
     placed = tracked.join(seen.select("mission_id", "frame", "det_id", "obj_lat", "obj_lon", "conf"), ["mission_id", "frame", "det_id"])
     spans = placed.groupBy("mission_id", "tid").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count("*").alias("hits"), F.max("conf").alias("best_conf"))

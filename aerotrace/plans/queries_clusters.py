@@ -12,10 +12,10 @@ _H = hav('a.lat', 'a.lon', 'b.lat', 'b.lon')
 
 
 @query("geo_candidates", f"""SELECT a.mission_id, a.frame AS a, b.frame AS b, {rs(_H,4)} AS distance FROM observations a JOIN observations b ON a.mission_id = b.mission_id AND a.tid <> b.tid
- AND a.frame % 5 = 0 WHERE {_H} <= 12.0""", "observations")
+ WHERE {_H} <= 12.0""", "observations")
 def _(t):
     o = t("observations").select("mission_id", "tid", "frame", "lat", "lon")
-    d = cl.geo_candidates(o.filter("frame % 5 = 0"), o, 12.0).filter("a.tid <> b.tid")
+    d = cl.geo_candidates(o, o, 12.0).filter("a.tid <> b.tid")
     return d.select("mission_id", F.col("a.frame").alias("a"), F.col("b.frame").alias("b"), r("distance", 4).alias("distance"))
 
 
@@ -54,17 +54,18 @@ def _(t):
     return cl.density_medoid(t("observations"), ["mission_id", "tid"]).select("mission_id", "tid", r("lat", 7).alias("lat"), r("lon", 7).alias("lon"))
 
 
-@query("components", """WITH RECURSIVE e AS (SELECT vec_id AS a, (vec_id * 7 + 3) % 100 AS b FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT (vec_id * 7 + 3) % 100, vec_id FROM embeddings WHERE vec_id % 3 <> 0),
+@query("components", """WITH RECURSIVE e AS (SELECT vec_id AS a, CASE WHEN vec_id % 7 = 0 THEN vec_id ELSE vec_id // 2 END AS b FROM embeddings UNION ALL SELECT CASE WHEN vec_id % 7 = 0 THEN vec_id ELSE vec_id // 2 END, vec_id FROM embeddings WHERE vec_id % 7 <> 0),
  reach(n, m) AS (SELECT a, a FROM e UNION SELECT r.n, e.b FROM reach r JOIN e ON r.m = e.a) SELECT n AS node, min(m) AS component FROM reach GROUP BY 1""")
 def _(t):
-    e = t("embeddings").filter("vec_id % 3 <> 0").select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + 3) % 100).alias("dst"))
-    return cl.components(e)
+    v = F.col("vec_id")
+    e = t("embeddings").select(v.alias("src"), F.when(v % 7 == 0, v).otherwise(F.floor(v / 2)).alias("dst"))
+    return cl.components(e, nodes=t("embeddings").select(v.alias("node")))
 
 
-@query("resolve_identities", f"""WITH RECURSIVE o AS (SELECT mission_id, tid * 100000 + frame AS tid, lat, lon, embedding FROM observations WHERE frame < 100000),
+@query("resolve_identities", f"""WITH RECURSIVE o AS (SELECT mission_id, tid * 1000000000000 + frame AS tid, lat, lon, embedding FROM observations),
  e AS (SELECT a.mission_id, a.tid AS a, b.tid AS b FROM o a JOIN o b ON a.mission_id = b.mission_id AND a.tid <> b.tid AND {_H} <= 2.5 AND list_dot_product(a.embedding, b.embedding) >= 0.2),
  reach(mission_id, n, m) AS (SELECT mission_id, tid, tid FROM o UNION SELECT r.mission_id, r.n, e.b FROM reach r JOIN e ON r.mission_id = e.mission_id AND r.m = e.a)
 SELECT mission_id, n AS tid, min(m) AS identity FROM reach GROUP BY 1, 2""", "observations")
 def _(t):
-    o = t("observations").select("mission_id", (F.col("tid") * 100000 + F.col("frame")).alias("tid"), "lat", "lon", F.col("embedding").alias("centroid"))
+    o = t("observations").select("mission_id", (F.col("tid") * 1000000000000 + F.col("frame")).alias("tid"), "lat", "lon", F.col("embedding").alias("centroid"))
     return cl.resolve_identities(o, radius=2.5, min_cosine=0.2)

@@ -102,7 +102,7 @@ def _(t):
 @query("point_observations", f"""WITH {_PTS}, t AS (SELECT scene, quantile_cont(conf, 0.4) AS thr FROM depth_px GROUP BY 1)
 SELECT {PX}, row_number() OVER (PARTITION BY scene ORDER BY view, v, u) AS point_id, {rs('u*1920/40.0')} AS orig_u, {rs('v*1080/30.0')} AS orig_v FROM pts JOIN t USING (scene) WHERE conf >= thr""", "depth_px cameras")
 def _(t):
-    c = cams(t).withColumns({"orig_w": F.lit(1920), "orig_h": F.lit(1080)})
+    c = cams(t).withColumns({"orig_w": F.lit(1920), "orig_h": F.lit(1080), "model_w": F.lit(40), "model_h": F.lit(30)})
     return dp.point_observations(t("depth_px"), c).select("scene", "view", "u", "v", "point_id", r("orig_u").alias("orig_u"), r("orig_v").alias("orig_v"))
 
 

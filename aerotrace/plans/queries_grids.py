@@ -49,10 +49,10 @@ def _(t):
     return gr.default_endpoints(gr.largest_region(grid(t).filter("blocked = 0")), H, W)
 
 
-@query("nearest_free", f"""WITH {_FULL}, p AS (SELECT DISTINCT frame, r, c FROM cells WHERE (r*7+c) % 11 = 0), k AS (SELECT p.frame, p.r, p.c, f.r AS fr, f.c AS fc, row_number() OVER (PARTITION BY p.frame, p.r, p.c ORDER BY greatest(abs(f.r-p.r),abs(f.c-p.c)), f.r-p.r, f.c-p.c) AS rn
+@query("nearest_free", f"""WITH {_FULL}, p AS (SELECT DISTINCT frame, r, c FROM cells), k AS (SELECT p.frame, p.r, p.c, f.r AS fr, f.c AS fc, row_number() OVER (PARTITION BY p.frame, p.r, p.c ORDER BY greatest(abs(f.r-p.r),abs(f.c-p.c)), f.r-p.r, f.c-p.c) AS rn
  FROM p LEFT JOIN fg f ON f.frame = p.frame AND f.blocked = 0 AND abs(f.r-p.r) <= 12 AND abs(f.c-p.c) <= 12) SELECT frame, r, c, fr AS snap_r, fc AS snap_c FROM k WHERE rn = 1""", "cells")
 def _(t):
-    p = t("cells").filter("(r*7+c) % 11 = 0").select("frame", "r", "c").distinct()
+    p = t("cells").select("frame", "r", "c").distinct()
     return gr.nearest_free(p, grid(t).filter("blocked = 0"))
 
 
@@ -89,7 +89,7 @@ def _(t):
  FROM px, (SELECT unnest(range(10)) AS gi), (SELECT unnest(range(14)) AS gj) WHERE r < (gi+1)*2.4 - 1e-9 AND r+1 > gi*2.4 + 1e-9 AND c < (gj+1)*2.4 - 1e-9 AND c+1 > gj*2.4 + 1e-9 AND gj < 14)
 SELECT frame, gi AS r, gj AS c, {rs('sum(v*w)/sum(w)/255.0',5)} AS mean FROM e GROUP BY 1, 2, 3""", "cells")
 def _(t):
-    p = t("cells").withColumn("value", F.when(F.col("blocked") == 1, 0).otherwise(255)).filter("c < 34")
+    p = t("cells").withColumn("value", F.when(F.col("blocked") == 1, 0).otherwise(255))
     # 24 x 33.6 pixels onto 10 x 14 cells: both axes shrink by 2.4
     d = gr.to_grid(p.withColumns({"r": F.col("r") * 5, "c": F.col("c") * 5}).withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(24))))
                    .withColumns({"r": F.col("r") + F.floor(F.col("__k") / 5), "c": F.col("c") + F.col("__k") % 5}), 120, 168, 14)

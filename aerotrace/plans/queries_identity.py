@@ -158,11 +158,12 @@ def _(t):
 
 
 @query("rank_by_distance", f"""WITH p AS (SELECT n_nationkey AS probe_id, 28.75 + n_nationkey * 0.00001 AS plat, 77.11 AS plon FROM nation)
-SELECT probe_id, vec_id AS gid, {rs(hav('lat','lon','plat','plon',6371008.8),4)} AS distance FROM (SELECT frame AS vec_id, CASE WHEN frame % 20 = 0 THEN NULL ELSE lat END AS lat, lon FROM observations), p""", "observations")
+SELECT probe_id, vec_id AS gid, {rs(hav('lat','lon','plat','plon',6371008.8),4)} AS distance,
+ CAST(row_number() OVER (PARTITION BY probe_id ORDER BY {hav('lat','lon','plat','plon',6371008.8)} NULLS LAST, vec_id) AS INTEGER) AS rank FROM (SELECT frame AS vec_id, CASE WHEN frame % 20 = 0 THEN NULL ELSE lat END AS lat, lon FROM observations), p""", "observations")
 def _(t):
     g = t("observations").select(F.col("frame").alias("gid"), F.when(F.col("frame") % 20 != 0, F.col("lat")).alias("lat"), "lon")
     p = t("nation").select(F.col("n_nationkey").alias("probe_id"), (28.75 + F.col("n_nationkey") * 0.00001).alias("lat"), F.lit(77.11).alias("lon"))
-    return idn.rank_by_distance(g, p).select("probe_id", "gid", r("distance", 4).alias("distance"))
+    return idn.rank_by_distance(g, p).select("probe_id", "gid", r("distance", 4).alias("distance"), "rank")
 
 
 @query("append_new_crops", """WITH o AS (SELECT mission_id, tid AS gid, frame, printf('%.2f', conf) AS c, CAST(trunc(sharpness) AS BIGINT) AS s FROM observations)

@@ -189,10 +189,10 @@ def _(t):
 
 @query("ema", f"""WITH RECURSIVE o AS (SELECT mission_id, frame, t, row_number() OVER (PARTITION BY mission_id ORDER BY frame) AS k FROM frames),
  e(mission_id, k, frame, v) AS (SELECT mission_id, k, frame, t FROM o WHERE k = 1 UNION ALL
-   SELECT o.mission_id, o.k, o.frame, 0.85 * e.v + 0.15 * o.t FROM e JOIN o ON o.mission_id = e.mission_id AND o.k = e.k + 1)
-SELECT mission_id, frame, {rs('v',4)} AS ema FROM e""", "frames")
+   SELECT o.mission_id, o.k, o.frame, (1.0 - 1.0/7.0) * e.v + (1.0/7.0) * o.t FROM e JOIN o ON o.mission_id = e.mission_id AND o.k = e.k + 1)
+SELECT mission_id, frame, {rs('v',9)} AS ema FROM e""", "frames")
 def _(t):
-    return tm.ema(t("frames"), "t", 0.15).select("mission_id", "frame", r("ema", 4).alias("ema"))
+    return tm.ema(t("frames"), "t", 1.0 / 7.0).select("mission_id", "frame", r("ema", 9).alias("ema"))
 
 
 @query("log_position", f"""WITH l AS (SELECT mission_id, arg_max(lat, frame) AS lat, arg_max(lon, frame) AS lon FROM observations GROUP BY 1)

@@ -13,9 +13,9 @@ def squares(t):
     """Squared boxes of a denser scene: positions folded to a strip so that tracks persist."""
     d = t("detections").filter("label <> 'shadow'")
     # shrink the frame numbers so that a mission is a continuous clip
-    d = d.select("mission_id", F.floor(F.col("frame") / 6).alias("frame"), "det_id", (F.col("x1") / 9).alias("x1"), (F.col("y1") / 9).alias("y1"), "conf", "sharpness",
+    d = d.select("mission_id", F.floor(F.col("frame") / 6).alias("frame"), (F.col("det_id") * 6 + F.col("frame") % 6).alias("det_id"), (F.col("x1") / 9).alias("x1"), (F.col("y1") / 9).alias("y1"), "conf", "sharpness",
                  F.lit(90.0).alias("s"))
-    return d.withColumns({"x2": F.col("x1") + F.col("s"), "y2": F.col("y1") + F.col("s")}).drop("s").dropDuplicates(["mission_id", "frame", "det_id"])
+    return d.withColumns({"x2": F.col("x1") + F.col("s"), "y2": F.col("y1") + F.col("s")}).drop("s")
 
 
 @query("track_greedy")

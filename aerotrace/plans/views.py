@@ -31,7 +31,7 @@ FROM events WHERE event_type IN ('purchase', 'error')
 """,
     "detections": """
 SELECT 'm' || CAST(l_orderkey % 6 AS STRING) AS mission_id, l_orderkey AS frame,
-  (CAST(l_linenumber AS BIGINT) * 100000 + l_partkey) * 10000 + CAST(l_quantity AS BIGINT) * 100 + l_suppkey % 100 AS det_id,
+  ((CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey) * 1000000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS det_id,
   (l_partkey * 131) % 1800 * CAST(1.0 AS DOUBLE) AS x1, (l_suppkey * 71 + l_partkey) % 1000 * CAST(1.0 AS DOUBLE) AS y1,
   (l_partkey * 131) % 1800 + 6 + l_quantity AS x2, (l_suppkey * 71 + l_partkey) % 1000 + 6 + l_quantity * CAST(1.5 AS DOUBLE) AS y2,
   CAST(0.1 AS DOUBLE) + l_discount * 8 AS conf,
@@ -83,9 +83,9 @@ SELECT CAST(p_size % 3 AS INT) AS scene, p_partkey AS pt,
 """,
     "beams": """
 SELECT l_orderkey AS seq, l_linenumber AS beam_no, l_orderkey * CAST(1.0 AS DOUBLE) AS lat_deg, CAST(20.0 AS DOUBLE) + l_orderkey % 5 AS alt_rel_m,
-  (l_orderkey % 9 - 4) * CAST(1.0 AS DOUBLE) AS roll_deg, (l_linenumber - 3) * CAST(15.0 AS DOUBLE) AS cam_angle_deg,
+  (l_orderkey % 9 - 4) * CAST(1.0 AS DOUBLE) AS roll_deg, (l_linenumber - 4) * CAST(11.0 AS DOUBLE) AS cam_angle_deg,
   CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(15.0 AS DOUBLE) + l_quantity * CAST(0.2 AS DOUBLE) END AS cam_range_m,
-  CAST(0.5 AS DOUBLE) + l_quantity * CAST(0.01 AS DOUBLE) AS d_rel FROM lineitem WHERE l_linenumber <= 5
+  CAST(0.5 AS DOUBLE) + l_quantity * CAST(0.01 AS DOUBLE) AS d_rel FROM lineitem
 """,
     "metrics": """
 SELECT o_orderpriority AS dataset, o_orderstatus AS mode, 's' || CAST(o_custkey % 10 AS STRING) AS scene,

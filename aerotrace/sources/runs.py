@@ -175,7 +175,7 @@ def scene_manifest(files: DataFrame) -> DataFrame:
     ``files`` has ``path`` as group/scene/...; scenes without pictures keep one row.
     """
     p = F.split("path", "/")
-    f = files.withColumns({"group": p[0], "scene": p[1], "rest": F.array_join(F.slice(p, 3, 100), "/")})
+    f = files.withColumns({"group": p[0], "scene": p[1], "rest": F.array_join(F.slice(p, F.lit(3), F.greatest(F.size(p) - 2, F.lit(0))), "/")})
     ok = f.groupBy("group", "scene").agg(F.bool_or(F.col("rest") == "scene.glb").alias("m"), F.bool_or(F.col("rest") == "scene.jpg").alias("t")).filter("m AND t").select("group", "scene")
     pic = f.filter(F.col("rest").rlike(r"(?i)^depth_vis/[^/]*\.(jpg|jpeg|png|webp)$")).select("group", "scene", F.col("path").alias("picture"))
     d = ok.join(pic, ["group", "scene"], "left")
@@ -248,19 +248,18 @@ def write_predictions(df: DataFrame, path: str) -> None:
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """One JSON object per dataset and mode: scene to metric to value.
+    """One JSON object per dataset and mode: scene to metric to value. Other datasets and modes in the folder stay.
 
     A benchmark has at most some hundred scenes per dataset.
     """
     scene = metrics.groupBy("dataset", "mode", "scene").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
     doc = scene.groupBy("dataset", "mode").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("scene", "m")))).alias("value"))
-    doc.select(F.concat_ws("_", "dataset", "mode").alias("key"), "value").write.partitionBy("key").mode("overwrite").text(path)
+    doc.write.partitionBy("dataset", "mode").option("partitionOverwriteMode", "dynamic").mode("overwrite").text(path)
 
 
 def load_metrics(spark: SparkSession, path: str) -> DataFrame:
     """All metric files as rows; unreadable files are skipped."""
     doc = spark.read.option("wholetext", True).text(path)
     d = doc.withColumn("m", F.from_json("value", "map<string,map<string,double>>")).filter(F.col("m").isNotNull())
-    d = d.select("key", F.explode("m").alias("scene", "mm")).select("key", "scene", F.explode("mm").alias("metric", "value"))
-    mode = F.regexp_extract("key", r"_([^_]*)$", 1)
-    return d.select(F.regexp_replace("key", r"_[^_]*$", "").alias("dataset"), mode.alias("mode"), "scene", "metric", "value")
+    d = d.select("dataset", "mode", F.explode("m").alias("scene", "mm"))
+    return d.select(F.col("dataset").cast("string"), F.col("mode").cast("string"), "scene", F.explode("mm").alias("metric", "value"))

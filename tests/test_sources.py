@@ -85,8 +85,11 @@ def test_log_and_metric_stores(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "log")).select("value").collect()] == ["[OK     ] a", "[WARN   ] b"]
     m = spark.createDataFrame([("dtu", "pose", "s1", "auc03", 0.5), ("dtu", "pose", "mean", "auc03", 0.5)], "dataset string, mode string, scene string, metric string, value double")
     runs.write_metrics(m, str(tmp_path / "metrics"))
-    (tmp_path / "metrics" / "key=bad_x").mkdir()
-    (tmp_path / "metrics" / "key=bad_x" / "part.txt").write_text("{broken")
+    other = m.withColumns({"dataset": F.lit("dtu_recon"), "mode": F.lit("recon_unposed")})
+    runs.write_metrics(other, str(tmp_path / "metrics"))  # leaves the first dataset alone
+    m = m.unionByName(other)
+    (tmp_path / "metrics" / "dataset=bad" / "mode=x").mkdir(parents=True)
+    (tmp_path / "metrics" / "dataset=bad" / "mode=x" / "part.txt").write_text("{broken")
     assert sorted(map(tuple, runs.load_metrics(spark, str(tmp_path / "metrics")).collect())) == sorted(map(tuple, m.collect()))
     runs.write_buffers(log, str(tmp_path / "buf"))
     runs.write_buffers(log, str(tmp_path / "buf"))

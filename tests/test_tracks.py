@@ -5,6 +5,10 @@ import pytest
 from aerotrace.operators import tracks as tk
 
 
+def iou(a, b):
+    return float(tk.overlap_matrix(np.array(a, float), np.array(b, float))[0, 0])
+
+
 def clip(seed=0, frames=160, people=6):
     rng = np.random.default_rng(seed)
     rows, start = [], rng.uniform(0, 400, (people, 2))
@@ -22,7 +26,7 @@ def greedy_model(pdf, thr=0.25, gap=3):
     for f in range(int(pdf.frame.min()), int(pdf.frame.max()) + 1):
         dets = pdf[pdf.frame == f].sort_values("det_id")
         boxes = dets[["x1", "y1", "x2", "y2"]].to_numpy().tolist()
-        pairs = sorted(((tk._iou(t["box"], b), i, j) for i, t in enumerate(tracks) for j, b in enumerate(boxes)), reverse=True)
+        pairs = sorted(((iou(t["box"], b), i, j) for i, t in enumerate(tracks) for j, b in enumerate(boxes)), reverse=True)
         ut, ub = set(), set()
         for s, i, j in pairs:
             if s < thr or i in ut or j in ub:
@@ -56,7 +60,7 @@ def strict_model(pdf, buffer=60, least=15):
         taken, todo = set(), []
         for r in dets.itertuples():
             p = [(r.x1 + r.x2) / 2, (r.y1 + r.y2) / 2, r.x2 - r.x1]
-            v = [tk._square_iou(p, h) for h in heads]
+            v = [float(tk.square_overlap_matrix(np.array(p), np.array(h))[0, 0]) for h in heads]
             if not v or max(v) < 0.25:
                 todo.append((r.det_id, p, None))
             elif sum(x > max(v) * 0.9 for x in v) > 1 or int(np.argmax(v)) in taken:
@@ -141,7 +145,7 @@ def test_fusion_agrees_with_a_loop(spark):
         for i in g.index:
             if i in used:
                 continue
-            mem = [j for j in g.index if j not in used and tk._iou(g.loc[i, ["x1", "y1", "x2", "y2"]].tolist(), g.loc[j, ["x1", "y1", "x2", "y2"]].tolist()) >= 0.55]
+            mem = [j for j in g.index if j not in used and iou(g.loc[i, ["x1", "y1", "x2", "y2"]].tolist(), g.loc[j, ["x1", "y1", "x2", "y2"]].tolist()) >= 0.55]
             used |= set(mem)
             m = g.loc[mem]
             rest = max(m.conf[m.conf >= 0.2].sum() - m.conf.max(), 0) * 2.0 / max(max(m.cover.iloc[0], 1) - 1, 1)
