@@ -103,6 +103,14 @@ def mission_summary(frames: DataFrame, detections: DataFrame, gid_events: DataFr
     return f.join(d, by, "full").join(g, by, "full")
 
 
+def track_counters(track_events: DataFrame, located: DataFrame, by: Sequence[str] = ("mission_id",)) -> DataFrame:
+    """Tracks created, updated and deleted, by the ``kind`` of the tracker's events, and detections without a position."""
+    by = list(by)
+    kind = F.col("kind")
+    t = track_events.groupBy(*by).agg(F.count_if(kind == "new").alias("tracks_created"), F.count_if(kind == "append").alias("tracks_updated"), F.count_if(kind == "delete").alias("tracks_deleted"))
+    return t.join(located.groupBy(*by).agg(F.count_if(F.col("lat").isNull() | F.col("lon").isNull()).alias("gps_failures")), by, "full")
+
+
 def run_stats(progress: DataFrame, by: Sequence[str] = ("mission_id",)) -> DataFrame:
     """Frame rate over the run and latency in milliseconds from rows of (frame, t0, t1)."""
     ms = (F.col("t1") - F.col("t0")) * 1000
