@@ -375,3 +375,8 @@ SELECT batch, img, {rs('max(d) FILTER (pid = q)',5)} AS hard_pos, {rs('min(d) FI
 def _(t):
     e = t("embeddings").select(F.floor(F.col("vec_id") / 32).alias("batch"), F.col("vec_id").alias("img"), F.col("label").alias("pid"), "embedding")
     return em.hard_pairs(e).select("batch", "img", r("hard_pos", 5).alias("hard_pos"), r("hard_neg", 5).alias("hard_neg"))
+
+
+@query("pairs", "SELECT a.scene, a.view AS i, b.view AS j FROM pose_pairs a JOIN pose_pairs b ON a.scene = b.scene AND a.view < b.view", "pose_pairs")
+def _(t):
+    return cd.pairs(t("pose_pairs").select("scene", "view"), ["scene"], "view", [], [])

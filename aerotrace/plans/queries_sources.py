@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from aerotrace.functions import text
+from aerotrace.operators.runtime import ensure_checkpoint_dir
 from aerotrace.plans.registry import query, r, rs
 from aerotrace.sources import flight_logs as fl
 from aerotrace.sources import runs
@@ -135,3 +138,31 @@ def _(t):
          .when(k % 4 == 2, '{"cmd": "jump"}').otherwise('{"cmd": '))
     g = text.parse_goals(t("goals").withColumn("payload", p))
     return g.select("event_id", "status", "reason")
+
+
+def store(t, name: str) -> str:
+    """A new folder for a store that a query writes and reads back."""
+    return f"{ensure_checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("metric_store", "SELECT dataset, mode, scene, metric, max(value) AS value FROM metrics WHERE run = 'run0' GROUP BY 1, 2, 3, 4", "metrics")
+def _(t):
+    m, path = t("metrics").filter("run = 'run0'").groupBy("dataset", "mode", "scene", "metric").agg(F.max("value").alias("value")), store(t, "metrics")
+    runs.write_metrics(m.filter("mode <> 'F'"), path)
+    runs.write_metrics(m.filter("mode = 'F'"), path)
+    return runs.load_metrics(t.spark, path)
+
+
+@query("buffer_store", "SELECT mission_id, gid, update_no, last_frame FROM buffers", "buffers")
+def _(t):
+    b, path = t("buffers").select("mission_id", "gid", "update_no", "last_frame"), store(t, "buffers")
+    runs.write_buffers(b.filter("update_no = 1"), path)
+    runs.write_buffers(b.filter("update_no > 1"), path)
+    return t.spark.read.parquet(path).select("mission_id", "gid", "update_no", "last_frame")
+
+
+@query("prediction_store", "SELECT scene, view, u, v, depth, conf FROM depth_px", "depth_px")
+def _(t):
+    path = store(t, "predictions")
+    runs.write_predictions(t("depth_px").select("scene", "view", "u", "v", "depth", "conf"), path)
+    return t.spark.read.parquet(path).select("scene", "view", "u", "v", "depth", "conf")

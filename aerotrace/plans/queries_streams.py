@@ -47,7 +47,7 @@ def _(t):
 @query("dedupe_gid", "SELECT DISTINCT user_id % 6 AS mission_id, user_id % 20 AS gid, event_id // 500 AS updates FROM events")
 def _(t):
     e = event_stream(t).select((F.col("user_id") % 6).alias("mission_id"), (F.col("user_id") % 20).alias("gid"), F.floor(F.col("event_id") / 500).alias("updates"), "ts")
-    return st.run_to_table(st.dedupe_gid(e, delay="3650 days"), "dedupe").drop("ts")
+    return st.run_to_table(st.dedupe_gid(e, delay="1 hour"), "dedupe").drop("ts")
 
 
 @query("stream_tracks")
@@ -79,10 +79,28 @@ def _(t):
     return st.readiness(e, max_age=72000.0).select("uav_id", F.size("missing").alias("missing"), "ready")
 
 
-@query("stream_stats", f"WITH {LOG} SELECT mission_id, level, count(*) AS lines, {rs('avg(CASE WHEN level = $$FRAME$$ THEN line_no % 30 + 0.5 END)')} AS fps FROM lg GROUP BY 1, 2".replace("$$FRAME$$", "'FRAME'"), "mission_log")
+@query("stream_stats", f"""WITH l AS (SELECT 'm' || user_id % 6 AS mission_id, epoch_us(ts) // 3600000000 * 3600000000 AS start_us, CASE event_type WHEN 'view' THEN 'FRAME' WHEN 'signup' THEN 'OK' ELSE 'INFO' END AS level,
+ CASE WHEN event_type = 'view' THEN event_id % 30 + 0.5 END AS v FROM events)
+SELECT mission_id, start_us, level, count(*) AS lines, {rs('avg(v)')} AS fps FROM l WHERE start_us + 3600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 10000000 FROM events) GROUP BY 1, 2, 3""")
 def _(t):
-    log = logs.parse_lines(t("mission_log")).withColumn("ts", F.timestamp_seconds(F.col("line_no") * 0))
-    return st.stream_stats(log).select("mission_id", "level", "lines", r("fps").alias("fps"))
+    """Windows that the watermark has closed; later ones stay open."""
+    s = st.run_to_table(st.stream_stats(log_stream(t), width="1 hour"), "stats")
+    return s.select("mission_id", F.unix_micros("start").alias("start_us"), "level", "lines", r("fps").alias("fps"))
+
+
+@query("stream_link", """WITH l AS (SELECT user_id AS uav_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), g AS (SELECT * FROM l WHERE epoch_us(ts) - epoch_us(p) > 36000000000),
+ e AS (SELECT user_id AS uav_id, max(epoch_us(ts)) + 36000000000 AS at_us FROM events GROUP BY 1)
+SELECT uav_id, 'lost' AS kind, epoch_us(p) + 36000000000 AS at_us FROM g UNION ALL SELECT uav_id, 'recovered', epoch_us(ts) FROM g
+UNION ALL SELECT uav_id, 'lost', at_us FROM e WHERE at_us // 1000 + 1 < (SELECT max(epoch_us(ts)) // 1000 - 1000 FROM events)""")
+def _(t):
+    e = event_stream(t).select(F.col("user_id").alias("uav_id"), "ts")
+    return st.run_to_table(st.link_watch(e, 36000.0), "link").select("uav_id", "kind", F.unix_micros("at").alias("at_us"))
+
+
+@query("publish_gids", "SELECT mission_id, gid, count(*) AS updates, max(last_frame) AS last_frame FROM buffers WHERE gid % 3 = 0 GROUP BY 1, 2", "buffers")
+def _(t):
+    b = t("buffers")
+    return st.publish_gids(b.filter("gid % 3 = 0").select("mission_id", "gid"), b).select("mission_id", "gid", "updates", "last_frame")
 
 
 @query("score", "SELECT vec_id, CAST(round(list_sum([abs(x) for x in CAST(embedding AS DOUBLE[])]), 4) + 0.0 AS DOUBLE) AS score FROM embeddings")

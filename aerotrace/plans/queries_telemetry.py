@@ -286,3 +286,18 @@ def _(t):
 def _(t):
     p = text.parse_lat_lon("probe")
     return t("goals").select("event_id", r(p["lat"], 7).alias("lat"), r(p["lon"], 7).alias("lon"))
+
+
+_UP = "(111132.92 - 559.82*cos(2*radians(lat)) + 1.175*cos(4*radians(lat)) - 0.0023*cos(6*radians(lat)))"
+_ACROSS = "(111412.84*cos(radians(lat)) - 93.5*cos(3*radians(lat)) + 0.118*cos(5*radians(lat)))"
+
+
+@query("ground_hit", f"""WITH p AS (SELECT mission_id, t, lat, lon, alt, roll / 11.0 AS x, pitch / 11.0 AS y, yaw / 180.0 - 0.5 AS z FROM telemetry WHERE lat IS NOT NULL)
+SELECT mission_id, {rs('t')} AS t, {rs('CASE WHEN z > 0 THEN x*alt/z END')} AS north, {rs('CASE WHEN z > 0 THEN y*alt/z END')} AS east,
+ {rs(f'CASE WHEN z > 0 THEN lat + x*alt/z/{_UP} END', 7)} AS hit_lat, {rs(f'CASE WHEN z > 0 THEN lon + y*alt/z/{_ACROSS} END', 7)} AS hit_lon FROM p""", "telemetry")
+def _(t):
+    d = t("telemetry").filter("lat IS NOT NULL")
+    ray = F.struct((F.col("roll") / 11.0).alias("x"), (F.col("pitch") / 11.0).alias("y"), (F.col("yaw") / 180.0 - 0.5).alias("z"))
+    d = d.withColumn("hit", geo.ground_hit(ray, "alt"))
+    d = d.withColumn("at", F.when(F.col("hit").isNotNull(), geo.ned_to_gps(F.col("hit.x"), F.col("hit.y"), "lat", "lon")))
+    return d.select("mission_id", r("t").alias("t"), r("hit.x").alias("north"), r("hit.y").alias("east"), r("at.lat", 7).alias("hit_lat"), r("at.lon", 7).alias("hit_lon"))
