@@ -134,6 +134,14 @@ def obstacle_counts(hits: DataFrame, by: Sequence[str] = ("image_id",), label: s
     return n.join(n.groupBy(*by).agg(F.sum("n").alias("total")), by).select(*by, label, "n", (F.col("n") / F.col("total")).alias("share"))
 
 
+def obstacle_area(mapped: DataFrame, obstacles: DataFrame, by: Sequence[str] = ("image_id",), at: Sequence[str] = ("r", "c")) -> DataFrame:
+    """Share of the mapped cells of an image that obstacles cover; a cell that several cover counts once."""
+    cells = [*by, *at]
+    covered = obstacles.select(*cells).distinct().withColumn("__hit", F.lit(1))
+    d = mapped.select(*cells).distinct().join(covered, cells, "left")
+    return d.groupBy(*by).agg(F.count("*").alias("mapped"), F.count("__hit").alias("covered"), F.avg(F.coalesce("__hit", F.lit(0)).cast("double")).alias("area_share"))
+
+
 def building_below(pixels: DataFrame, h: int, w: int, by: Sequence[str] = ("image_id",), col: str = "pred", roi: float = BUILDING_ROI,
                    share: float = BUILDING_SHARE) -> DataFrame:
     """Flag frames whose central region holds more than ``share`` building pixels."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aerotrace.functions import rotations as rot
@@ -352,10 +353,41 @@ def _(t):
     return em.compare_galleries(_gid_pairs(t)).select("mission_id", "tid_a", "tid_b", r("ratio", 4).alias("ratio"), r("score", 4).alias("score"), "is_match")
 
 
-@query("reference_view")
+_VIEWS = """WITH v AS (SELECT label % 7 AS scene, vec_id AS view, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (1 + vec_id % 5)) AS e FROM embeddings),
+ u AS (SELECT scene, view, sqrt(list_inner_product(e, e)) AS len, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v),
+ s AS (SELECT a.scene, a.view, any_value(a.len) AS len, avg(list_inner_product(a.e, b.e)) AS sim, any_value((list_inner_product(a.e, a.e) - len(a.e) * list_avg(a.e) * list_avg(a.e)) / (len(a.e) - 1)) AS var
+   FROM u a JOIN u b ON a.scene = b.scene AND a.view <> b.view GROUP BY 1, 2),
+ k AS (SELECT scene, view, abs((sim - min(sim) OVER w) / (max(sim) OVER w - min(sim) OVER w + 1e-8) - 0.5) + abs((len - min(len) OVER w) / (max(len) OVER w - min(len) OVER w + 1e-8) - 0.5)
+   + abs((var - min(var) OVER w) / (max(var) OVER w - min(var) OVER w + 1e-8) - 0.5) AS score FROM s WINDOW w AS (PARTITION BY scene))"""
+
+
+def scaled_views(t):
+    return t("embeddings").select((F.col("label") % 7).alias("scene"), F.col("vec_id").alias("view"),
+                                  F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 5)).alias("embedding"))
+
+
+@query("reference_view", _VIEWS + " SELECT scene, arg_min(view, score) AS reference FROM k GROUP BY 1")
+def _(t):
+    return em.reference_view(scaled_views(t))
+
+
+@query("reference_view_first", "SELECT label % 7 AS scene, min(vec_id) AS reference FROM embeddings GROUP BY 1")
+def _(t):
+    return em.reference_view(scaled_views(t), "first")
+
+
+@query("reference_view_middle", """SELECT scene, vec_id AS reference FROM (SELECT label % 7 AS scene, vec_id, row_number() OVER (PARTITION BY label % 7 ORDER BY vec_id) AS k, count(*) OVER (PARTITION BY label % 7) AS n FROM embeddings)
+ WHERE k = n // 2 + 1""")
+def _(t):
+    return em.reference_view(scaled_views(t), "middle")
+
+
+@query("reorder_by_reference", """WITH f AS (SELECT label % 7 AS scene, max(vec_id) AS ref FROM embeddings GROUP BY 1)
+SELECT scene, vec_id AS view, CAST(row_number() OVER (PARTITION BY scene ORDER BY vec_id <> ref, vec_id) AS INTEGER) AS place FROM (SELECT label % 7 AS scene, vec_id FROM embeddings) JOIN f USING (scene)""")
 def _(t):
-    v = t("embeddings").select((F.col("label") % 7).alias("scene"), F.col("vec_id").alias("view"), F.transform("embedding", lambda x: x * (1 + F.col("vec_id") % 5)).alias("embedding"))
-    return em.reference_view(v)
+    v = scaled_views(t).select("scene", "view")
+    d = em.reorder_by_reference(v, v.groupBy("scene").agg(F.max("view").alias("reference")))
+    return d.select("scene", "view", F.row_number().over(Window.partitionBy("scene").orderBy("view_order")).alias("place"))
 
 
 @query("reference_view_range", """WITH v AS (SELECT label % 7 AS scene, vec_id AS view, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), x AS (SELECT a.scene, a.view, greatest(0, max(list_cosine_similarity(a.e, b.e))) - least(0, min(list_cosine_similarity(a.e, b.e))) AS s FROM v a JOIN v b ON a.scene = b.scene AND a.view <> b.view GROUP BY 1, 2)

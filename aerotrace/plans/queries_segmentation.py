@@ -86,6 +86,12 @@ def _(t):
     return sg.obstacle_counts(t("pixels").filter("label in (5,7,8,9,10,11)")).withColumn("share", r("share"))
 
 
+@query("obstacle_area", f"SELECT image_id, count(*) AS mapped, count(*) FILTER (o) AS covered, {rs('avg(CASE WHEN o THEN 1.0 ELSE 0.0 END)')} AS area_share FROM (SELECT image_id, r, c, bool_or(label IN (5,7,8,9,10,11)) AS o FROM pixels GROUP BY 1, 2, 3) GROUP BY 1", "pixels")
+def _(t):
+    p = t("pixels")
+    return sg.obstacle_area(p, p.filter("label in (5,7,8,9,10,11)")).withColumn("area_share", r("area_share"))
+
+
 @query("building_below", f"""WITH f AS (SELECT image_id, avg(CASE WHEN pred = 1 THEN 1.0 ELSE 0.0 END) AS s FROM (SELECT *, r % 640 AS rr, (c * 131 + r * 17) % 1080 AS cc FROM pixels) WHERE rr BETWEEN 160 AND 479 AND cc BETWEEN 270 AND 809 GROUP BY 1)
 SELECT image_id, {rs('s')} AS building_share, CASE WHEN s > 0.05 THEN 1 ELSE 0 END AS building_below, s <= 0.05 AND image_id % 3 = 0 AS ground_clear FROM f""", "pixels")
 def _(t):
