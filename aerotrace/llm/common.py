@@ -34,6 +34,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """The rows written to a table in the shared folder and read again: cuts lineage, and no executor can take them away.
+
+    Unlike a checkpoint, the new frame carries over no constraints of the old plan, which multiply in loops.
+    """
+    path = shared_folder(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
 

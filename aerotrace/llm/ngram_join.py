@@ -15,7 +15,7 @@
    whose distances differ by more than the threshold allows are skipped. Members linked with the pivot are not compared with each other.
 5. The links that remain connect sets to components.
 
-No task holds more than a block of ``BLOCK`` members on either side, and no pair of documents is ever a row.
+No task holds more than a block of ``BLOCK`` members, or ``ENTRIES`` hashes of theirs, on either side, and no pair of documents is ever a row.
 
 Edge cases: a text of fewer words than n is one n-gram, one without words (NULL, empty, white space) has an empty set that links with nothing; repeated
 rows and repeated doc_ids are rows of their own; NULL doc_ids take part, but name no component; an empty table gives no row; other columns
@@ -32,17 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerotrace.llm.common import bytes_of, slices
+from aerotrace.llm.common import bytes_of, keep, slices
 from aerotrace.llm.links import components
 from aerotrace.llm.word_hash import mix, words
-from aerotrace.operators.runtime import cut
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 GROWTH = 1.3
 WEAK = 2  # hashes a part needs to be indexed
-BLOCK = 4096
+BLOCK = 2048
 RING = 20  # rings of distance from the pivot, per unit
 FEATURES = 2048
+PAIRS = 1 << 21
+ENTRIES = 1 << 21  # hashes in the differences of one block
 SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -190,7 +191,7 @@ def differences(texts: DataFrame, n: int) -> DataFrame:
     ``texts`` has family, salt, member (0 for the pivot), set, text; the pivot is there once for each salt.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, pivot, out = None, None, []
+        at, pivot, out, held = None, None, [], 0
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 h, count = ngrams(*bytes_of(batch.column("text")), n)
@@ -211,9 +212,10 @@ def differences(texts: DataFrame, n: int) -> DataFrame:
                     lacks = np.ones(len(pivot), bool)
                     lacks[place[common]] = False
                     out.append((family, key, len(mine), len(pivot), int(common.sum()), np.flatnonzero(lacks).astype("<u4").tobytes(), mine[~common].astype("<u8").tobytes()))
-                    if len(out) >= 1024:
+                    held += len(out[-1][5]) + len(out[-1][6])
+                    if held >= SLICE:
                         yield _members(out)
-                        out = []
+                        out, held = [], 0
         if out:
             yield _members(out)
 
@@ -227,27 +229,44 @@ def _members(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def overlaps(a: list[tuple], b: list[tuple], pivot_n: int) -> np.ndarray:
-    """Overlap of each of ``a`` with each of ``b``, members as (n, common, lacks, adds) of one pivot, from the differences alone."""
-    rows = a + b
-    lacks = [np.frombuffer(r[2], "<u4").astype(np.uint64) for r in rows]
-    adds = [np.frombuffer(r[3], "<u8") for r in rows]
-    size = np.array([len(x) for x in lacks]), np.array([len(x) for x in adds])
-    feature = np.concatenate((np.unique(np.concatenate(lacks), return_inverse=True)[1], pivot_n + np.unique(np.concatenate(adds), return_inverse=True)[1]))
-    owner = np.concatenate((np.repeat(np.arange(len(rows)), size[0]), np.repeat(np.arange(len(rows)), size[1])))
-    feature = np.unique(feature, return_inverse=True)[1]
-    shared = np.bincount(feature)[feature] > 1 if len(feature) else np.zeros(0, bool)  # one that a single member has adds to no overlap
-    feature, owner = np.unique(feature[shared], return_inverse=True)[1], owner[shared]
+    """Overlap of each of ``a`` with each of ``b``, members as (n, common, lacks, adds) of one pivot, from the differences alone.
+
+    A hash that both lack counts once more than their single losses do, one that both add counts as it is. Hashes that many members
+    have are counted by a matrix product, those that few have pair by pair.
+    """
+    lacks = [np.frombuffer(r[2], "<u4") for r in (*a, *b)]
+    adds = [np.frombuffer(r[3], "<u8") for r in (*a, *b)]
+    lost, gained = np.array([len(x) for x in lacks]), np.array([len(x) for x in adds])
+    owner = np.repeat(np.tile(np.arange(len(lost)), 2), np.concatenate((lost, gained)))
+    feature = np.concatenate((np.concatenate(lacks).astype(np.int64), pivot_n + np.unique(np.concatenate(adds), return_inverse=True)[1]))
+    n_a, n_b = len(a), len(b)
+    left = owner < n_a
+    most = int(feature.max(initial=-1)) + 1
+    in_a, in_b = np.bincount(feature[left], minlength=most), np.bincount(feature[~left], minlength=most)
+    pairs = in_a * in_b
+    many = pairs > n_a * n_b // 64
+    out = np.zeros((n_a, n_b), np.float32)
+    number = np.cumsum(many) - 1  # of the hashes that many have
+    for low in range(0, int(many.sum()), FEATURES):
+        here = many[feature] & (number[feature] >= low) & (number[feature] < low + FEATURES)
+        x = np.zeros((n_a + n_b, FEATURES), np.float32)
+        x[owner[here], number[feature[here]] - low] = 1
+        out += x[:n_a] @ x[n_a:].T
+    few = (pairs > 0) & ~many
     order = np.argsort(feature, kind="stable")
-    feature, owner = feature[order], owner[order]
-    base = pivot_n - size[0][:len(a), None] - size[0][None, len(a):]
-    out = np.zeros((len(a), len(b)), np.float32)
-    kinds = int(feature[-1]) + 1 if len(feature) else 0
-    for low in range(0, kinds, FEATURES):
-        i, j = np.searchsorted(feature, (low, low + FEATURES))
-        x = np.zeros((len(rows), min(FEATURES, kinds - low)), np.float32)
-        x[owner[i:j], feature[i:j] - low] = 1
-        out += x[:len(a)] @ x[len(a):].T
-    return base + out.astype(np.int64)
+    order = order[few[feature[order]]]
+    fa, fb = order[left[order]], order[~left[order]]
+    begin_b, flat = np.cumsum(np.where(few, in_b, 0)) - np.where(few, in_b, 0), out.reshape(-1)
+    ends = np.cumsum(in_b[feature[fa]])
+    at = 0
+    while at < len(fa):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        f = feature[fa[at:to]]
+        n = in_b[f]
+        place = np.repeat(begin_b[f] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        np.add.at(flat, np.repeat(owner[fa[at:to]], n) * n_b + owner[fb[place]] - n_a, np.float32(1))
+        at = to
+    return (pivot_n - lost[:n_a, None] - lost[None, n_a:]).astype(np.int32) + out.astype(np.int32)
 
 
 def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -288,10 +307,11 @@ def links_of(members: DataFrame, percent: int) -> DataFrame:
     linked = F.col("common") * 100 >= (F.col("n") + F.col("pivot_n") - F.col("common")) * percent
     distance = 1 - F.col("common") / (F.col("n") + F.col("pivot_n") - F.col("common"))
     rows = members.withColumn("outer", (~linked).cast("int"))
-    sizes = cut(rows.groupBy("family").agg(F.count("*").alias("m"), F.max("outer").alias("any_outer")).filter("any_outer = 1").select("family", "m"))
+    sizes = keep(rows.groupBy("family").agg(F.count("*").alias("m"), F.max("outer").alias("any_outer")).filter("any_outer = 1").select("family", "m"))
     ring = F.when(F.col("m") > BLOCK, F.floor(distance * RING).cast("int")).otherwise(0)
-    rows = cut(rows.join(sizes, "family").withColumn("ring", ring).withColumn("outer", F.when(F.col("m") > BLOCK, F.col("outer")).otherwise(1)).drop("m"))
-    counts = cut(rows.groupBy("family", "outer", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
+    rows = keep(rows.join(sizes, "family").withColumn("ring", ring).withColumn("outer", F.when(F.col("m") > BLOCK, F.col("outer")).otherwise(1)).drop("m"))
+    size = F.sum(F.octet_length("lacks") / 4 + F.octet_length("adds") / 8)
+    counts = keep(rows.groupBy("family", "outer", "ring").agg(F.ceil(F.greatest(F.count("*") / BLOCK, size / ENTRIES)).cast("int").alias("parts")))
     blocks = counts.select("family", "outer", "ring", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     this, that = blocks.select("family", *[F.col(c).alias(f"{c}_a") for c in ("outer", "ring", "part")]), blocks.select("family", *[F.col(c).alias(f"{c}_b") for c in ("outer", "ring", "part")])
     ordered = (F.col("outer_b") == 0) | (F.struct("ring_a", "part_a") <= F.struct("ring_b", "part_b"))
@@ -301,7 +321,7 @@ def links_of(members: DataFrame, percent: int) -> DataFrame:
     one = tiles.select("family", *names, F.lit(0).alias("side"), F.col("outer_a").alias("outer"), F.col("ring_a").alias("ring"), F.col("part_a").alias("part"))
     two = tiles.filter("outer_a <> outer_b OR ring_a <> ring_b OR part_a <> part_b").select(
         "family", *names, F.lit(1).alias("side"), F.col("outer_b").alias("outer"), F.col("ring_b").alias("ring"), F.col("part_b").alias("part"))
-    places = cut(one.unionByName(two))
+    places = keep(one.unionByName(two))
     placed = rows.join(counts, ["family", "outer", "ring"]).withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")).drop("parts")
     dealt = placed.join(places, ["family", "outer", "ring", "part"]).select("family", *names, "side", "set", "n", "pivot_n", "common", "lacks", "adds")
 
@@ -325,7 +345,8 @@ def links_of(members: DataFrame, percent: int) -> DataFrame:
         done()
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
-    return dealt.repartition("family", *names).sortWithinPartitions("family", *names, "side", "set").mapInArrow(run, "a long, b long")
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own: tiles are small to read and long to work on
+    return dealt.repartition(tasks, "family", *names).sortWithinPartitions("family", *names, "side", "set").mapInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -334,13 +355,13 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     Two rows link when the Jaccard similarity of their sets is ``percent`` hundredths or more; ``component_id`` is the smallest doc_id
     that links reach, the row's own if its set is empty.
     """
-    rows = cut(sets_of(docs, n))
-    sets = cut(rows.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    rows = keep(sets_of(docs, n))
+    sets = keep(rows.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
     hub = F.min("set").over(Window.partitionBy("key"))
     stars = entries(docs, n, percent).withColumn("hub", hub).filter("`set` <> hub").select(F.col("set").alias("a"), F.col("hub").alias("b"))
-    families = cut(components(stars).withColumnRenamed("key", "set").withColumnRenamed("root", "family"))
-    members = cut(families.join(sets, "set"))
-    pivots = cut(members.groupBy("family").agg(F.count("*").alias("m"), F.max(F.struct("copies", (-F.col("set")).alias("s"))).alias("p"))
+    families = keep(components(stars).withColumnRenamed("key", "set").withColumnRenamed("root", "family"))
+    members = keep(families.join(sets, "set"))
+    pivots = keep(members.groupBy("family").agg(F.count("*").alias("m"), F.max(F.struct("copies", (-F.col("set")).alias("s"))).alias("p"))
                  .select("family", F.ceil(F.col("m") / 1024).cast("int").alias("salts"), (-F.col("p.s")).alias("pivot")))
     known = members.join(pivots, "family")
     picked = known.withColumn("salt", F.explode(F.when(F.col("set") == F.col("pivot"), F.sequence(F.lit(-1), F.col("salts") - 1)).otherwise(
@@ -348,11 +369,11 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     # the pivot is the first row of every salt, and a member of the first
     picked = picked.withColumn("member", ((F.col("set") != F.col("pivot")) | (F.col("salt") == -1)).cast("int")).withColumn("salt", F.greatest("salt", F.lit(0)))
     texts = docs.select("doc_id", "text").join(picked.select("doc_id", "family", "salt", "member", "set"), "doc_id").select("family", "salt", "member", "set", "text")
-    diff = cut(differences(texts, n).dropDuplicates(["set"]))
+    diff = keep(differences(texts, n).dropDuplicates(["set"]))
     direct = (diff.filter((F.col("common") * 100 >= (F.col("n") + F.col("pivot_n") - F.col("common")) * percent))
               .join(pivots, "family").select(F.col("set").alias("a"), F.col("pivot").alias("b")))
     found = components(direct.unionByName(links_of(diff, percent))).withColumnRenamed("key", "set").withColumnRenamed("root", "component")
-    grouped = cut(sets.join(cut(found), "set", "left").withColumn("component", F.coalesce("component", "set")))
-    ids = cut(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    named = cut(grouped.join(ids, "component").select("set", "component", "component_id"))
+    grouped = keep(sets.join(keep(found), "set", "left").withColumn("component", F.coalesce("component", "set")))
+    ids = keep(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    named = keep(grouped.join(ids, "component").select("set", "component", "component_id"))
     return rows.join(named, "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set", "component", "text_hash")

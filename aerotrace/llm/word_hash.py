@@ -30,9 +30,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@lru_cache(maxsize=4)
+BLOCK = 1 << 20  # bytes hashed at a time
+
+
+@lru_cache(maxsize=1)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, 2^bits + 1 of each."""
+    """Powers of BASE and of its inverse, more than 2^bits of each."""
     out = []
     for base in (BASE, pow(BASE, -1, 1 << 64)):
         p = np.ones(1, np.uint64)
@@ -54,25 +57,43 @@ class Words:
 
 def words(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> Words:
     """Words of the rows raw[start:end], which lie one after the other; A-Z count as a-z if ``lower``."""
-    n = len(raw)
-    if not n:
+    if not len(raw):
         z = np.zeros(0, np.int64)
         return Words(z, z, z, np.zeros(0, np.uint64))
+    parts, at = [], 0
+    while at < len(raw):
+        to = _boundary(raw, start, at + BLOCK)
+        parts.append(_block(raw[at:to], start[(start >= at) & (start < to)] - at, lower, at))
+        at = to
+    first, stop, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return Words(np.searchsorted(end, first, side="right"), first, stop, h)
+
+
+def _boundary(raw: np.ndarray, start: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on where no word goes on: white space, a row's start, or the end."""
+    if at >= len(raw):
+        return len(raw)
+    k = int(np.searchsorted(start, at))
+    stop = int(start[k]) if k < len(start) else len(raw)
+    while at < stop:
+        blank = np.flatnonzero(SPACE[raw[at:min(stop, at + BLOCK)]])
+        if len(blank):
+            return at + int(blank[0])
+        at += BLOCK
+    return stop
+
+
+def _block(raw: np.ndarray, start: np.ndarray, lower: bool, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(raw)
     ink = ~SPACE[raw]
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = ink[:-1]
-    before[start[start < n]] = False  # a row's first byte begins a word
-    first = np.flatnonzero(ink & ~before)
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = ink[1:]
-    last = end[(end > 0) & (end <= n)] - 1
-    after[last] = False
-    stop = np.flatnonzero(ink & ~after) + 1
-    powers, inverse = _powers(max(10, int(n).bit_length()))
+    begins, ends = ink.copy(), ink.copy()
+    begins[1:] &= ~ink[:-1]
+    ends[:-1] &= ~ink[1:]
+    begins[start] = ink[start]  # a row's first byte begins a word, and the one before it ends one
+    before = start[start > 0] - 1
+    ends[before] = ink[before]
+    first, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    powers, inverse = _powers(max(20, n.bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(VALUES[LOWER[raw] if lower else raw] * powers[:n], out=sums[1:])
-    h = mix((sums[stop] - sums[first]) * inverse[first] + (stop - first).astype(np.uint64))
-    row = np.searchsorted(end, first, side="right")
-    return Words(row, first, stop, h)
+    return first + offset, stop + offset, mix((sums[stop] - sums[first]) * inverse[first] + (stop - first).astype(np.uint64))

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from aerotrace.llm import ngram_join
+from aerotrace.llm import ngram_join, word_hash
 from aerotrace.llm.word_hash import words
 
 SCHEMA = "doc_id long, text string, lang string, score double, component long, `set` string"
@@ -64,7 +64,7 @@ def corpus(seed=1):
     return [*rows, (3, "one"), (None, "one two three four"), (None, "alone in the world it is")]
 
 
-@pytest.mark.parametrize(("n", "percent", "block"), [(4, 85, 4096), (5, 80, 4096), (4, 85, 16)])
+@pytest.mark.parametrize(("n", "percent", "block"), [(4, 85, 2048), (5, 80, 2048), (4, 85, 16)])
 def test_components_equal_all_pairs(spark, monkeypatch, n, percent, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = corpus()
@@ -90,13 +90,29 @@ def test_linked_sets_share_an_entry(size, lost, added, percent, seed):
         assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
-def test_overlaps_follow_from_differences():
+@pytest.mark.parametrize("pairs", [7, 1 << 22])
+def test_overlaps_follow_from_differences(monkeypatch, pairs):
+    monkeypatch.setattr(ngram_join, "PAIRS", pairs)
     rng = np.random.default_rng(3)
     pivot = np.unique(rng.integers(0, 1 << 40, 50, dtype=np.uint64))
-    sets = [np.unique(np.concatenate((rng.choice(pivot, 40, replace=False), rng.integers(0, 60, 8, dtype=np.uint64)))) for _ in range(12)]
+    sets = [np.unique(np.concatenate((rng.choice(pivot, 40, replace=False), rng.integers(0, 60, 8, dtype=np.uint64)))) for _ in range(40)]
     rows = [(len(s), len(np.intersect1d(s, pivot)), np.flatnonzero(~np.isin(pivot, s)).astype("<u4").tobytes(), np.setdiff1d(s, pivot).astype("<u8").tobytes()) for s in sets]
-    got = ngram_join.overlaps(rows[:5], rows[5:], len(pivot))
-    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+    got = ngram_join.overlaps(rows[:15], rows[15:], len(pivot))
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[15:]] for a in sets[:15]]
+
+
+def test_words_across_blocks(monkeypatch):
+    texts = ["", "ab cd", "e", "", "fghij klmno\n\npq  r", "stuvwxyz", " ", "A1 b2"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    end = np.cumsum([len(t) for t in texts])
+    start = np.concatenate(([0], end[:-1]))
+    whole = words(raw, start, end)
+    want = [(i, w.lower()) for i, t in enumerate(texts) for w in t.split()]
+    assert [(int(r), bytes(raw[a:b]).decode().lower()) for r, a, b in zip(whole.row, whole.start, whole.end, strict=True)] == want
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(word_hash, "BLOCK", size)
+        part = words(raw, start, end)
+        assert all(np.array_equal(getattr(whole, k), getattr(part, k)) for k in ("row", "start", "end", "hash"))
 
 
 def test_word_hashes_do_not_depend_on_place():
