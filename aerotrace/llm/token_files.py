@@ -44,25 +44,32 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = 1, sample_do
                      dict_bytes: int = 32 << 10) -> bytes:
     """A zstandard dictionary of serialised ids, trained in one task.
 
-    It is fitted on the ``sample_docs`` documents of smallest hash, ``doc_bytes`` of ids of each at most; what is
-    written with it does not depend on the sample, only how small it gets. Too few samples give their bytes themselves,
-    no text at all gives an empty dictionary.
+    It is fitted on the ``sample_docs`` rows of smallest hash, ``doc_bytes`` of ids of each at most; what is
+    written with it does not depend on the sample, only how small it gets. Only hashes are sorted and only those bytes meet in the
+    task. Too few samples give their bytes themselves, no text at all gives an empty dictionary.
     """
-    pick = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("text")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("k"), "text")
+    picked = keyed.select("k").orderBy("k").limit(sample_docs).distinct()
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, parts = encoder(tokenizer), []
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
         for batch in batches:
-            for text in texts_of(batch.column(0)):
+            out = []
+            for text in texts_of(batch.column("text")):
                 ids = np.append(enc.ids(text), end_id).astype("<u4").tobytes()
                 middle = max(0, len(ids) // 2 - doc_bytes // 2) // 4 * 4
-                parts.append(ids[middle:middle + doc_bytes])
+                out.append(ids[middle:middle + doc_bytes])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out, pa.binary())], ["k", "ids"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = sorted(b for batch in batches for b in batch.column("ids").to_pylist())
         try:
             data = zstandard.train_dictionary(dict_bytes, parts).as_bytes()
         except (zstandard.ZstdError, ValueError):  # too few or too short samples
             data = b"".join(parts)[:dict_bytes]
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
+    pick = keyed.join(F.broadcast(picked), "k").mapInArrow(ids_of, "k long, ids binary").dropDuplicates(["k"])  # at most ``sample_docs`` rows
     row = pick.coalesce(1).mapInArrow(train, "data binary").first()
     return bytes(row["data"]) if row else b""
 
