@@ -29,6 +29,7 @@ from aerotrace.llm.common import bytes_of, slices
 from aerotrace.llm.word_hash import words
 
 SAMPLE_LINES = 4096
+SLICE = 2 << 20
 CHAIN = 64
 
 # Classes of bytes, by number. Bytes from 0x80 on count as letters.
@@ -199,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quali
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 lines = line_features(*bytes_of(batch.column("text")))
                 at = np.cumsum(lines.count) - lines.count
                 keep = np.flatnonzero(lines.count <= SAMPLE_LINES)
@@ -222,7 +223,7 @@ def score(docs: DataFrame, model: LineModel | None, carry: tuple[str, ...] = ("d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 s = model.score(line_features(*bytes_of(batch.column("text")))) if model else np.full(batch.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(s, pa.float64())], [*carry, out])
 

@@ -73,7 +73,7 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 4 * BITS, np.int64)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 at, n = ngram_counts(bytes_of(batch.column("text"))[0])
                 total[at] += n
         at = np.flatnonzero(total)

@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 MOST_LABELLED = 100_000
 SIZES = (3, 4, 5)
 
-AFTER = r"^[\s\S]*?://"
-
 
 @dataclass(frozen=True)
 class Rule:

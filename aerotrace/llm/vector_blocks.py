@@ -3,7 +3,7 @@
 A query set is compared with all rows tile by tile: candidates are dealt to blocks of about
 ``CANDIDATES`` rows and queries to blocks of about ``QUERIES`` rows by a hash of their id, and each tile is one row of an
 equi-join on the numbers of its two blocks. A block is cut when it grows beyond its size, so no row
-holds more, however often an id is repeated. A repeated id stands for one vector, the smallest in the order of arrays.
+holds more, however often an id is repeated. A repeated id stands for one vector, the smallest in the order of arrays; rows with a NULL id take no part.
 """
 
 from __future__ import annotations
