@@ -83,10 +83,11 @@ def set_hashes(h: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=8)
-def windows(percent: int, largest: int) -> list[tuple[int, int, int, int]]:
-    """(smallest size, largest size, parts, parts that may be weak) of each window up to size ``largest``.
+def windows(percent: int, largest: int, single: bool = False) -> list[tuple[int, int, int, int, int]]:
+    """(smallest size, largest size, parts, parts that may be weak, hashes a part needs) of each window up to size ``largest``.
 
-    Sizes below the first window can only link with equal sets.
+    Sizes below the first window can only link with equal sets. With ``single``, a window whose parts are too small to hold two hashes
+    mostly, by the Poisson law at its smallest size, is content with one.
     """
     def differ(a: int, b: int) -> int:  # most hashes in which linked sets of these sizes differ
         return (100 - percent) * (a + b) // (100 + percent)
@@ -98,35 +99,61 @@ def windows(percent: int, largest: int) -> list[tuple[int, int, int, int]]:
         high = max(low + 1, int(np.ceil(low * GROWTH))) - 1  # the smaller set of a pair
         other = high * 100 // percent
         d = differ(high, other)
-        weak = int(np.ceil(0.14 * (d + 1) / 0.86)) + 1
-        out.append((low, other, d + weak + 1, weak))
+        weak, need = int(np.ceil(0.14 * (d + 1) / 0.86)) + 1, WEAK
+        mean = low / (d + weak + 1)
+        if single and np.exp(-mean) * (1 + mean) * (d + weak + 1) > 0.8 * weak:
+            need = 1
+        out.append((low, other, d + weak + 1, weak, need))
         low = high + 1
     return out
 
 
-def index_keys(h: np.ndarray, count: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index entries of each set: their keys and the number of the set each belongs to."""
+def _parts(mine: np.ndarray, owner: np.ndarray, parts: int, place: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, owner, number of hashes, and place among ``parts`` of every part that holds any."""
+    part = ((mine >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # hashes ascend, so parts do
+    begin = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])))) if len(mine) else np.zeros(0, np.int64)
+    key = mix(np.add.reduceat(mix(mine + SALT), begin) + mix(place + part[begin])) if len(mine) else np.zeros(0, np.uint64)
+    return key, owner[begin], np.diff(np.append(begin, len(mine))), part[begin]
+
+
+def index_keys(h: np.ndarray, count: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index entries of each set: their keys and the number of the set each belongs to.
+
+    With ``frequent``, sorted hashes, the parts are made of the other hashes, in which linked sets differ no more than in all; only sets with
+    too many weak parts among those are indexed by all their hashes as well. Two linked sets share an entry of the first
+    kind if either is not such a set, else one of the second. Any set of hashes will do.
+    """
     first, keys, owners = np.cumsum(count) - count, [], []
-    for number, (low, high, parts, allowed) in enumerate(windows(percent, int(count.max(initial=0)))):
+    rare = None
+    if frequent is not None and len(frequent):
+        rare = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] != h
+    for number, (low, high, parts, allowed, need) in enumerate(windows(percent, int(count.max(initial=0)), frequent is not None)):
         sets = np.flatnonzero((count >= low) & (count <= high))
         if not len(sets):
             continue
+        place = np.uint64(number + 1) << np.uint64(40)
+        if rare is not None:
+            size = count[sets]
+            owner = np.repeat(np.arange(len(sets)), size)
+            at = np.repeat(first[sets] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            key, who, held, _ = _parts(h[at[rare[at]]], owner[rare[at]], parts, place + (np.uint64(1) << np.uint64(39)))
+            strong = held >= need
+            keys.append(key[strong])
+            owners.append(sets[who[strong]])
+            sets = sets[parts - np.bincount(who[strong], minlength=len(sets)) > allowed]
+            if not len(sets):
+                continue
         size = count[sets]
         owner = np.repeat(np.arange(len(sets)), size)
         mine = h[np.repeat(first[sets] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        part = ((mine >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # hashes ascend, so parts do
-        begin = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1]))))
-        held = np.diff(np.append(begin, len(mine)))
-        place = np.uint64(number + 1) << np.uint64(40)
-        key = mix(np.add.reduceat(mix(mine + SALT), begin) + mix(place + part[begin]))
-        who = owner[begin]
-        strong = held >= WEAK
+        key, who, held, part = _parts(mine, owner, parts, place)
+        strong = held >= need
         weak = parts - np.bincount(who[strong], minlength=len(sets))
         keep = strong | (weak > allowed)[who]
         keys.append(key[keep])
         owners.append(sets[who[keep]])
         for i in np.flatnonzero(weak > allowed):  # its empty parts count too
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[begin][who == i])
+            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[who == i])
             keys.append(mix(mix(place + empty)))
             owners.append(np.full(len(empty), sets[i]))
     if not keys:
@@ -134,6 +161,25 @@ def index_keys(h: np.ndarray, count: np.ndarray, percent: int) -> tuple[np.ndarr
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def frequent_ngrams(docs: DataFrame, n: int, sample: int = 20_000, least: int = 4, most: int = 200_000) -> np.ndarray:
+    """Hashes that ``least`` of the ``sample`` rows of smallest hash hold, the ``most`` most frequent of them, ascending.
+
+    They only steer the index: it loses no link whichever they are. At most ``most`` numbers go to the driver.
+    """
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("k"), "text")
+    picked = keyed.select("k").orderBy("k").limit(sample).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                h, c = np.unique(ngrams(*bytes_of(batch.column("text")), n)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(h), pa.array(c.astype(np.int64))], ["h", "c"])
+
+    counted = keyed.join(F.broadcast(picked), "k").select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    rows = counted.filter(F.col("c") >= least).orderBy(F.desc("c"), "h").limit(most).toArrow()
+    return np.sort(np.asarray(rows["h"].combine_chunks(), np.int64).view(np.uint64)) if rows.num_rows else np.zeros(0, np.uint64)
+
+
 def combine(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries (key, set) of a batch, each key once: its other sets become entries of pairs with the smallest."""
     order = np.lexsort((sets, keys))
@@ -167,7 +213,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, n_shingles long, `set` long, text_hash long")
 
 
-def entries(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def entries(docs: DataFrame, n: int, percent: int, frequent: np.ndarray | None = None) -> DataFrame:
     """Index entries (key, set) of all texts, combined batch by batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -178,7 +224,7 @@ def entries(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 keep = np.zeros(len(count), bool)
                 keep[once] = True
                 h, count, s = h[np.repeat(keep, count)], count[keep], s[keep]
-                keys, owner = index_keys(h, count, percent)
+                keys, owner = index_keys(h, count, percent, frequent)
                 keys, sets = combine(keys, s[owner])
                 yield pa.RecordBatch.from_arrays([_signed(keys), _signed(sets)], ["key", "set"])
 
@@ -349,16 +395,17 @@ def links_of(members: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition(tasks, "family", *names).sortWithinPartitions("family", *names, "side", "set").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+def join(docs: DataFrame, n: int = 4, percent: int = 85, steered: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, and set, component (hashes; NULL for an empty set), text_hash of every row.
 
     Two rows link when the Jaccard similarity of their sets is ``percent`` hundredths or more; ``component_id`` is the smallest doc_id
-    that links reach, the row's own if its set is empty.
+    that links reach, the row's own if its set is empty. ``steered`` keeps n-grams that are frequent in a sample out of the index
+    where it can, which changes no result; it pays at lower similarities, where parts hold few hashes.
     """
     rows = keep(sets_of(docs, n))
     sets = keep(rows.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
     hub = F.min("set").over(Window.partitionBy("key"))
-    stars = entries(docs, n, percent).withColumn("hub", hub).filter("`set` <> hub").select(F.col("set").alias("a"), F.col("hub").alias("b"))
+    stars = entries(docs, n, percent, frequent_ngrams(docs, n) if steered else None).withColumn("hub", hub).filter("`set` <> hub").select(F.col("set").alias("a"), F.col("hub").alias("b"))
     families = keep(components(stars).withColumnRenamed("key", "set").withColumnRenamed("root", "family"))
     members = keep(families.join(sets, "set"))
     pivots = keep(members.groupBy("family").agg(F.count("*").alias("m"), F.max(F.struct("copies", (-F.col("set")).alias("s"))).alias("p"))

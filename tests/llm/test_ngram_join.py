@@ -64,12 +64,12 @@ def corpus(seed=1):
     return [*rows, (3, "one"), (None, "one two three four"), (None, "alone in the world it is")]
 
 
-@pytest.mark.parametrize(("n", "percent", "block"), [(4, 85, 2048), (5, 80, 2048), (4, 85, 16)])
-def test_components_equal_all_pairs(spark, monkeypatch, n, percent, block):
+@pytest.mark.parametrize(("n", "percent", "block", "steered"), [(4, 85, 2048, False), (5, 80, 2048, True), (4, 85, 16, True)])
+def test_components_equal_all_pairs(spark, monkeypatch, n, percent, block, steered):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "en", 0.5, 1, "x") for i, t in rows], SCHEMA).repartition(5)
-    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(df, n, percent).collect())
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(df, n, percent, steered).collect())
     assert got == brute(rows, n, percent)
 
 
@@ -78,14 +78,15 @@ def test_empty_table(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(5, 400), st.integers(0, 60), st.integers(0, 60), st.sampled_from([80, 85, 95]), st.integers(0, 10**6))
-def test_linked_sets_share_an_entry(size, lost, added, percent, seed):
+@given(st.integers(5, 400), st.integers(0, 60), st.integers(0, 60), st.sampled_from([80, 85, 95]), st.integers(0, 10**6), st.floats(0, 1))
+def test_linked_sets_share_an_entry(size, lost, added, percent, seed, share):
     """The index loses no link: sets that differ in few enough hashes have an entry in common."""
     rng = np.random.default_rng(seed)
     a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
     b = np.unique(np.concatenate((a[min(lost, len(a) - 1):], rng.integers(0, 1 << 63, added, dtype=np.uint64))))
     common = len(np.intersect1d(a, b))
-    keys, owner = ngram_join.index_keys(np.concatenate((a, b)), np.array([len(a), len(b)]), percent)
+    frequent = np.sort(rng.choice(np.union1d(a, b), int(share * len(a)), replace=False)) if rng.random() < 0.8 else None
+    keys, owner = ngram_join.index_keys(np.concatenate((a, b)), np.array([len(a), len(b)]), percent, frequent)
     if 100 * common >= percent * (len(a) + len(b) - common) and not np.array_equal(a, b):
         assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
