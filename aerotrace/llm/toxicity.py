@@ -1,9 +1,10 @@
 """Toxicity of documents whose words may be disguised.
 
 A noisy channel explains how a plain word becomes a disguised one: letters turn into look-alike digits and signs, are
-spaced out, or are repeated. The characters of a suspicious run form a lattice of the letters they may stand for; a Viterbi
+spaced out, or are repeated. The characters of a suspicious run form a lattice of the letters they may stand for and of the
+places where a word may end: at a sign, and between any two characters of a spaced passage. A Viterbi
 search finds the path that the channel and a character language model find likeliest together. The language model is
-counted over all documents. The restored word is then scored like any other.
+counted over all documents. Every word of the path, and the run read as one word, is then scored like any other.
 
 A term is a word or the beginning of one. Its evidence is the log-odds of the toxic label among the labelled documents that hold it,
 shrunk to the share of all. A document's features are its strongest evidences, and a logistic model of
@@ -51,6 +52,7 @@ SYMBOL[97:123] = np.arange(1, 27)
 SYMBOL[65:91] = np.arange(1, 27)
 SYMBOL[128:] = 27
 BITS = 5
+SPACE_AT = (1 << BITS) - 1  # zero in the last symbol: a word has ended, or none has begun
 
 
 def symbols(word: str) -> list[int]:
@@ -111,31 +113,54 @@ def readings(c: str) -> list[tuple[str, float]]:
     return out if c.isdigit() and out else [*out, ("", DROP)]
 
 
-def restore(run: str, model: np.ndarray) -> str:
-    """The likeliest plain word behind a run of characters."""
-    state: dict[tuple[int, str], tuple[float, str]] = {(0, ""): (0.0, "")}  # (last three symbols, last letter) -> cost, word
+def segment(run: str, model: np.ndarray, ends: bool = True, gaps: bool = False) -> list[str]:
+    """The likeliest plain words behind a run of characters.
+
+    With ``ends`` a word may end at a sign that the channel drops, with ``gaps`` after any character; else the run is one word. A word is as likely after a word end as at the beginning.
+    """
+    # (last three symbols, last letter) -> cost, path; a path is the letter and the path before it
+    state: dict[tuple[int, str], tuple[float, tuple | None]] = {(0, ""): (0.0, None)}
     keep = (1 << 3 * BITS) - 1
     for c in run[:LONGEST].lower():
-        nxt: dict[tuple[int, str], tuple[float, str]] = {}
-        for (past, last), (cost, word) in state.items():
-            for letter, price in readings(c):
-                options = [(past, last, cost + price, word)] if not letter else []
-                if letter:
-                    p, total = past, cost + price
-                    for s in symbols(letter):
-                        at = (p << BITS) | s
-                        total -= float(model[at])
-                        p = at & keep
-                    options.append((p, letter, total, word + letter))
-                    if letter == last:  # one letter, held
-                        options.append((past, last, cost + price + SHORTEN, word))
-                for p, x, total, w in options:
-                    old = nxt.get((p, x))
-                    if old is None or total < old[0]:
-                        nxt[p, x] = (total, w)
+        nxt: dict[tuple[int, str], tuple[float, tuple | None]] = {}
+
+        def put(p, x, total, path, nxt=nxt):
+            old = nxt.get((p, x))
+            if old is None or total < old[0]:
+                nxt[p, x] = (total, path)
+
+        read = readings(c)
+        for (past, last), (cost, path) in state.items():
+            for letter, price in read:
+                if not letter:
+                    put(past, last, cost + price, path)
+                    if ends and past & SPACE_AT:
+                        put(0, "", cost + price - float(model[past << BITS]), (" ", path))
+                    continue
+                p, total = past, cost + price
+                for s in symbols(letter):
+                    at = (p << BITS) | s
+                    total -= float(model[at])
+                    p = at & keep
+                put(p, letter, total, (letter, path))
+                if letter == last:  # one letter, held
+                    put(past, last, cost + price + SHORTEN, path)
+        if gaps:
+            for (past, _), (cost, path) in list(nxt.items()):
+                if past & SPACE_AT:
+                    put(0, "", cost - float(model[past << BITS]), (" ", path))
         state = nxt
-    end = [(cost - float(model[past << BITS]), word) for (past, _), (cost, word) in state.items()]
-    return min(end)[1] if end else ""
+    end = [(cost - (float(model[past << BITS]) if past & SPACE_AT else 0.0), path) for (past, _), (cost, path) in state.items()]
+    path, out = min(end, key=lambda e: e[0])[1] if end else None, []
+    while path:
+        out.append(path[0])
+        path = path[1]
+    return "".join(reversed(out)).split()
+
+
+def restore(run: str, model: np.ndarray) -> str:
+    """The likeliest plain word behind a run of characters."""
+    return "".join(segment(run, model, ends=False))
 
 
 def suspicious(word: str) -> bool:
@@ -158,6 +183,13 @@ def terms(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:n] for n in reversed(BEGINNINGS) if len(word) > n)]
 
 
+def raised(found: list[float], e: float) -> list[float]:
+    """The evidences with ``e``, another reading of the same run, in place of the largest if it is larger."""
+    if e <= max(found, default=0.0):
+        return found
+    return [e, *sorted(found, reverse=True)[1:]]
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     """Evidence by term, weights of the document features (the last is the offset), and the language model."""
@@ -183,26 +215,29 @@ class Reader:
                 return e
         return 0.0
 
-    def of_run(self, run: str) -> float:
+    def restored(self, run: str, gaps: bool = False) -> list[float]:
+        """Positive evidences of the words behind a disguised run, which may also be one word."""
+        words = segment(run, self.letters, gaps=gaps)
+        out = [e for e in map(self.of_plain, words) if e > 0]
+        return raised(out, self.of_plain(restore(run, self.letters))) if len(words) > 1 else out
+
+    def of_run(self, run: str) -> tuple[float, ...]:
+        """Positive evidences of a run between spaces: one, or one for each word that signs part."""
         word = trim(run)
         if not word:
-            return 0.0
-        out = self.of_plain(word)
-        if suspicious(word):
-            out = max(out, self.of_plain(restore(word, self.letters)))
-        return out
+            return ()
+        return tuple(raised(self.restored(word) if suspicious(word) else [], self.of_plain(word)))
 
     def text(self, text: str) -> list[float]:
-        """The strongest evidences of the text's different runs, strongest first."""
+        """The strongest evidences of the words in the text's different runs, strongest first."""
         runs = text.split()
         unlike = set(runs)
-        found = [e for e in map(self.known.__getitem__, unlike) if e > 0]
+        found = [e for es in map(self.known.__getitem__, unlike) for e in es]
         for m in SPACED.finditer(text):
-            word = restore("".join(m.group().split()), self.letters)
-            found.append(max(self.of_plain(word), 0.0))
+            found += self.restored("".join(m.group().split()), gaps=True)
         if not self.heads.isdisjoint(unlike):
             for a, b in zip(runs, runs[1:], strict=False):
-                if a in self.heads and len(b) > 1 and self.known[b] <= 0:
+                if a in self.heads and len(b) > 1 and not self.known[b]:
                     found.append(e if (e := self.evidence.get("=" + trim(a + b), 0.0)) >= STRONG else 0.0)
         found.sort(reverse=True)
         return found
@@ -218,7 +253,7 @@ class _Known(dict):
         super().__init__()
         self.reader = reader
 
-    def __missing__(self, run: str) -> float:
+    def __missing__(self, run: str) -> tuple[float, ...]:
         e = self.reader.of_run(run)
         if len(self) < MEMO:
             self[run] = e

@@ -94,6 +94,19 @@ def test_toxicity(learned):
     assert not [e for e in reader.text("an er ing on 1999 a b c d 10.5 3rd") if e > 1]
 
 
+@pytest.fixture(scope="module")
+def reader(learned):
+    model = toxicity.fit(learned[0], learned[1], ~held_out())
+    return toxicity.Reader(model.evidence, model.letters)
+
+
+def test_disguised_words_beside_others(reader):
+    for disguised in ("a s c u m", "o n e r i d i o t a n", "th a i d i o t", "on.Idiot", "ering-1diot", "scum-an"):
+        assert max(reader.text("an er ing " + disguised + " on re"), default=0) > toxicity.STRONG, disguised
+    assert sum(e > toxicity.STRONG for e in reader.text("i d i o t o n s c u m")) == 2
+    assert not [e for e in reader.text("an er.ing on-re th e r e a n") if e > 1]
+
+
 def test_models_without_labels(learned, spark):
     df, lf, _ = learned
     none = lf.filter("doc_id < 0")
