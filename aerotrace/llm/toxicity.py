@@ -20,6 +20,7 @@ repeated doc_id count once, the larger; repeated rows are each scored; an empty
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +37,7 @@ BEGINNINGS = (3, 4, 5, 6)
 SHRINK = 4.0
 STRONG = 2.0  # evidence that a joined pair of words needs
 TOP = 4
-LONGEST = 64  # characters of the longest run that is restored; words are shorter
+SHORT = 64  # characters of a word whose beginnings or evidences are kept by word
 
 # Letters that a sign may stand for, and the cost of each reading in nats.
 LOOKALIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e",
@@ -45,6 +46,7 @@ SWAP, DROP, SHORTEN = 1.0, 0.3, 0.2
 EDGE = re.compile(r"^[\s\"'(\[{<.,;:!?_*~`\-]+|[\s\"')\]}>.,;:!?_~`\-]+$|([#$%&*+=|])\1{2,}$|^([#$%&*+=|])\2{2,}")
 SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 TRIPLE = re.compile(r"(.)\1\1")
+ALIKE = re.compile(r"(.)\1{4,}", re.DOTALL)  # no word holds one letter five times in a row
 
 # Symbols of the language model: 0 no letter, 1..26 a-z, 27 a byte of another letter.
 SYMBOL = np.zeros(256, np.int32)
@@ -121,7 +123,7 @@ def segment(run: str, model: np.ndarray, ends: bool = True, gaps: bool = False)
     # (last three symbols, last letter) -> cost, path; a path is the letter and the path before it
     state: dict[tuple[int, str], tuple[float, tuple | None]] = {(0, ""): (0.0, None)}
     keep = (1 << 3 * BITS) - 1
-    for c in run[:LONGEST].lower():
+    for c in ALIKE.sub(lambda m: m.group()[:4], run.lower()):
         nxt: dict[tuple[int, str], tuple[float, tuple | None]] = {}
 
         def put(p, x, total, path, nxt=nxt):
@@ -205,7 +207,19 @@ class Reader:
     def __init__(self, evidence: dict[str, float], letters: np.ndarray):
         self.evidence, self.letters, self.known = evidence, letters, _Known(self)
         strong = [t[1:] for t, e in evidence.items() if t[0] == "=" and e >= STRONG]
-        self.heads = {w[:i] for w in strong for i in range(2, len(w) - 1)}
+        self.heads = {w[:i] for w in strong for i in range(2, min(len(w) - 1, SHORT + 1))}
+        self.long = sorted(w for w in strong if len(w) > SHORT)
+
+    def head(self, run: str) -> bool:
+        """Whether a strong word of two letters more begins with the run."""
+        if len(run) <= SHORT:
+            return run in self.heads
+        at = bisect_left(self.long, run)
+        while at < len(self.long) and self.long[at].startswith(run):
+            if len(self.long[at]) > len(run) + 1:
+                return True
+            at += 1
+        return False
 
     def of_plain(self, word: str) -> float:
         """Of the word if it is known, else of its longest known beginning."""
@@ -235,9 +249,9 @@ class Reader:
         found = [e for es in map(self.known.__getitem__, unlike) for e in es]
         for m in SPACED.finditer(text):
             found += self.restored("".join(m.group().split()), gaps=True)
-        if not self.heads.isdisjoint(unlike):
+        if not self.heads.isdisjoint(unlike) or self.long and any(map(self.head, unlike)):
             for a, b in zip(runs, runs[1:], strict=False):
-                if a in self.heads and len(b) > 1 and not self.known[b]:
+                if self.head(a) and len(b) > 1 and not self.known[b]:
                     found.append(e if (e := self.evidence.get("=" + trim(a + b), 0.0)) >= STRONG else 0.0)
         found.sort(reverse=True)
         return found
@@ -255,7 +269,7 @@ class _Known(dict):
 
     def __missing__(self, run: str) -> tuple[float, ...]:
         e = self.reader.of_run(run)
-        if len(self) < MEMO:
+        if len(self) < MEMO and len(run) <= SHORT:
             self[run] = e
         return e
 
@@ -273,7 +287,7 @@ def term_counts(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
                 toxic, n = Counter(), Counter()
                 for half, y, text in zip(batch.column("half").to_pylist(), batch.column("label").to_pylist(), texts_of(batch.column("text")), strict=True):
                     words = {trim(r) for r in set(text.split())} - {""}
-                    held = {(half, t) for w in words if len(w) <= LONGEST for t in terms(w)}
+                    held = {(half, t) for w in words for t in terms(w)}
                     n.update(held)
                     if y > 0:
                         toxic.update(held)

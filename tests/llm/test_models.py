@@ -107,6 +107,17 @@ def test_disguised_words_beside_others(reader):
     assert not [e for e in reader.text("an er.ing on-re th e r e a n") if e > 1]
 
 
+def test_disguised_words_far_into_a_run(reader, spark):
+    for disguised in ("i" + 70 * "d" + "iot", 70 * "1" + "diot", 100 * "on " + "x", " ".join("oner" * 30 + "idiot"), "-".join(["oning"] * 20) + "-1d10t"):
+        found = max(reader.text("an er ing " + disguised + " on re"), default=0)
+        assert (found > toxicity.STRONG) == (disguised[-1] != "x"), disguised
+    long = "scum" * 40
+    counts, _ = toxicity.term_counts(spark.createDataFrame([(0, 1, long)], "half int, label int, text string"))
+    assert "=" + long in {r["term"] for r in counts.collect()}
+    known = toxicity.Reader({"=" + long: 3.0}, reader.letters)
+    assert known.text(long[:100] + " " + long[100:]) == [3.0] and known.text(long) == [3.0] and not known.head(long[:-1])
+
+
 def test_models_without_labels(learned, spark):
     df, lf, _ = learned
     none = lf.filter("doc_id < 0")
