@@ -45,7 +45,7 @@ LOOKALIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "
 SWAP, DROP, SHORTEN = 1.0, 0.3, 0.2
 EDGE = re.compile(r"^[\s\"'(\[{<.,;:!?_*~`\-]+|[\s\"')\]}>.,;:!?_~`\-]+$|([#$%&*+=|])\1{2,}$|^([#$%&*+=|])\2{2,}")
 SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
-TRIPLE = re.compile(r"(.)\1\1")
+DOUBLE = re.compile(r"(.)\1")
 ALIKE = re.compile(r"(.)\1{4,}", re.DOTALL)  # no word holds one letter five times in a row
 
 # Symbols of the language model: 0 no letter, 1..26 a-z, 27 a byte of another letter.
@@ -166,8 +166,8 @@ def restore(run: str, model: np.ndarray) -> str:
 
 
 def suspicious(word: str) -> bool:
-    """Whether a word holds a sign or digit beside letters, or a letter three times in a row."""
-    return not word.isalpha() and any(c.isalpha() or c in LOOKALIKE for c in word) or TRIPLE.search(word) is not None
+    """Whether a word holds a sign or digit beside letters, or a letter twice in a row."""
+    return not word.isalpha() and any(c.isalpha() or c in LOOKALIKE for c in word) or DOUBLE.search(word) is not None
 
 
 def trim(run: str) -> str:

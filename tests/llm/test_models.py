@@ -118,6 +118,12 @@ def test_disguised_words_far_into_a_run(reader, spark):
     assert known.text(long[:100] + " " + long[100:]) == [3.0] and known.text(long) == [3.0] and not known.head(long[:-1])
 
 
+def test_doubled_letters(reader):
+    for disguised in ("iddiot", "ssccuumm", "mmoron", "moroon", "scuum", "Iidioott."):
+        assert max(reader.text("an er ing " + disguised + " on re"), default=0) > toxicity.STRONG, disguised
+    assert not [e for e in reader.text("onn erring thhan eess") if e > 1]
+
+
 def test_models_without_labels(learned, spark):
     df, lf, _ = learned
     none = lf.filter("doc_id < 0")
