@@ -43,6 +43,7 @@ BLOCK = 2048
 RING = 20  # rings of distance from the pivot, per unit
 FEATURES = 2048
 PAIRS = 1 << 21
+SEEN = 1 << 20  # texts a task remembers
 ENTRIES = 1 << 21  # hashes in the differences of one block
 SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -231,6 +232,22 @@ def entries(docs: DataFrame, n: int, percent: int, frequent: np.ndarray | None =
     return docs.select("text").mapInArrow(run, "key long, `set` long")
 
 
+def different_texts(docs: DataFrame) -> DataFrame:
+    """text_hash and text of the rows that hold a text; most copies that a task meets are left out, a few may stay."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            new = []
+            for h in batch.column("text_hash").to_pylist():
+                new.append(h not in seen)
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(h)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "text_hash long, text string")
+
+
 def differences(texts: DataFrame, n: int) -> DataFrame:
     """Members as their differences from the pivot of their family.
 
@@ -243,7 +260,7 @@ def differences(texts: DataFrame, n: int) -> DataFrame:
                 h, count = ngrams(*bytes_of(batch.column("text")), n)
                 s, first = set_hashes(h, count).view(np.int64), np.cumsum(count) - count
                 for i, (family, salt, member, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("family", "salt", "member", "set")), strict=True)):
-                    if s[i] != key:  # another text under the same doc_id
+                    if s[i] != key:  # another text of the same hash
                         continue
                     mine = h[first[i]:first[i] + count[i]]
                     if not member:
@@ -403,7 +420,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, steered: bool = False)
     where it can, which changes no result; it pays at lower similarities, where parts hold few hashes.
     """
     rows = keep(sets_of(docs, n))
-    sets = keep(rows.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    sets = keep(rows.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("text_hash").alias("text_hash")))
     hub = F.min("set").over(Window.partitionBy("key"))
     stars = entries(docs, n, percent, frequent_ngrams(docs, n) if steered else None).withColumn("hub", hub).filter("`set` <> hub").select(F.col("set").alias("a"), F.col("hub").alias("b"))
     families = keep(components(stars).withColumnRenamed("key", "set").withColumnRenamed("root", "family"))
@@ -415,7 +432,10 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, steered: bool = False)
         F.array(F.pmod(F.xxhash64("set"), F.col("salts")).cast("int")))))
     # the pivot is the first row of every salt, and a member of the first
     picked = picked.withColumn("member", ((F.col("set") != F.col("pivot")) | (F.col("salt") == -1)).cast("int")).withColumn("salt", F.greatest("salt", F.lit(0)))
-    texts = docs.select("doc_id", "text").join(picked.select("doc_id", "family", "salt", "member", "set"), "doc_id").select("family", "salt", "member", "set", "text")
+    wanted = keep(picked.select("text_hash", "family", "salt", "member", "set"))
+    # one text of each set, whatever its doc_ids: copies are given up before a join could bring them together
+    texts = different_texts(docs).join(wanted.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    texts = texts.join(wanted, "text_hash").select("family", "salt", "member", "set", "text")
     diff = keep(differences(texts, n).dropDuplicates(["set"]))
     direct = (diff.filter((F.col("common") * 100 >= (F.col("n") + F.col("pivot_n") - F.col("common")) * percent))
               .join(pivots, "family").select(F.col("set").alias("a"), F.col("pivot").alias("b")))

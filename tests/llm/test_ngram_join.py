@@ -73,6 +73,19 @@ def test_components_equal_all_pairs(spark, monkeypatch, n, percent, block, steer
     assert got == brute(rows, n, percent)
 
 
+def test_near_copies_without_ids_of_their_own(spark):
+    """Sets that only rows without an id hold, as pivot and as member, and many texts under one id."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(400)]
+    copy, *near = (list(family(rng, rng.choices(vocabulary, k=90), 12, 2)))
+    rows = [(None, copy), (None, copy), (5, near[0]), *[(None, t) for t in near[1:6]]]
+    rows += [(9, t) for t in family(rng, rng.choices(vocabulary, k=60), 40, 2)] + [(9, near[6])] * 3
+    rows += [(None, t) for t in family(rng, rng.choices(vocabulary, k=50), 10, 1)]
+    df = spark.createDataFrame([(i, t, "en", 0.5, 1, "x") for i, t in rows], SCHEMA).repartition(3)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(df).collect())
+    assert got == brute(rows, 4, 85)
+
+
 def test_empty_table(spark):
     assert ngram_join.join(spark.createDataFrame([], SCHEMA)).collect() == []
 
