@@ -115,6 +115,12 @@ def readings(c: str) -> list[tuple[str, float]]:
     return out if c.isdigit() and out else [*out, ("", DROP)]
 
 
+def put(state: dict, past: int, last: str, cost: float, path: tuple | None) -> None:
+    old = state.get((past, last))
+    if old is None or cost < old[0]:
+        state[past, last] = (cost, path)
+
+
 def segment(run: str, model: np.ndarray, ends: bool = True, gaps: bool = False) -> list[str]:
     """The likeliest plain words behind a run of characters.
 
@@ -125,32 +131,26 @@ def segment(run: str, model: np.ndarray, ends: bool = True, gaps: bool = False)
     keep = (1 << 3 * BITS) - 1
     for c in ALIKE.sub(lambda m: m.group()[:4], run.lower()):
         nxt: dict[tuple[int, str], tuple[float, tuple | None]] = {}
-
-        def put(p, x, total, path, nxt=nxt):
-            old = nxt.get((p, x))
-            if old is None or total < old[0]:
-                nxt[p, x] = (total, path)
-
-        read = readings(c)
+        read = [(letter, price, symbols(letter)) for letter, price in readings(c)]
         for (past, last), (cost, path) in state.items():
-            for letter, price in read:
+            for letter, price, codes in read:
                 if not letter:
-                    put(past, last, cost + price, path)
+                    put(nxt, past, last, cost + price, path)
                     if ends and past & SPACE_AT:
-                        put(0, "", cost + price - float(model[past << BITS]), (" ", path))
+                        put(nxt, 0, "", cost + price - float(model[past << BITS]), (" ", path))
                     continue
                 p, total = past, cost + price
-                for s in symbols(letter):
+                for s in codes:
                     at = (p << BITS) | s
                     total -= float(model[at])
                     p = at & keep
-                put(p, letter, total, (letter, path))
+                put(nxt, p, letter, total, (letter, path))
                 if letter == last:  # one letter, held
-                    put(past, last, cost + price + SHORTEN, path)
+                    put(nxt, past, last, cost + price + SHORTEN, path)
         if gaps:
             for (past, _), (cost, path) in list(nxt.items()):
                 if past & SPACE_AT:
-                    put(0, "", cost - float(model[past << BITS]), (" ", path))
+                    put(nxt, 0, "", cost - float(model[past << BITS]), (" ", path))
         state = nxt
     end = [(cost - (float(model[past << BITS]) if past & SPACE_AT else 0.0), path) for (past, _), (cost, path) in state.items()]
     path, out = min(end, key=lambda e: e[0])[1] if end else None, []
