@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerotrace.llm import byte_bpe, hamming_index, html_text, line_crf, ngram_join, packing, token_files, topk_search, toxicity, url_filter
+from aerotrace.llm import byte_bpe, hamming_index, html_text, line_crf, ngram_join, packing, token_files, topk_search, toxicity, url_filter, va_clusters
 from aerotrace.llm.common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -123,9 +123,34 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op13_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty clusters of all vectors of 64 components after five rounds, with distances and inertia."""
+    found = va_clusters.cluster(table(spark, sf_dir, "embeddings"))
+    return va_clusters.with_inertia(found) if found else spark.createDataFrame([], OP13_SCHEMA)
+
+
+OP13_SCHEMA = "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
+
+
+def _op13_sql(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+     WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"""c0 AS MATERIALIZED (SELECT k, m FROM (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, e) - 1 AS INTEGER) AS k, e AS m FROM v) WHERE k < {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, min(z) AS z FROM (SELECT v.r, {{'d': CAST(list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(v.e, c.m)]) AS BIGINT), 'k': c.k}} AS z FROM v, c{i} c) GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS MATERIALIZED (SELECT k, d, sum(x) AS s, count(*) AS n FROM (SELECT a.z.k AS k, generate_subscripts(v.e, 1) AS d, unnest(v.e) AS x FROM a{i} a JOIN v USING (r)) GROUP BY k, d)""")
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(u.m, c.m) AS m FROM c{i} c LEFT JOIN
+     (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY d) AS m FROM s{i} GROUP BY k) u ON u.k = c.k)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT v.vec_id, a.z.k AS "cluster", a.z.d AS distance, CAST(sum(a.z.d) OVER (PARTITION BY a.z.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.z.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.k = a.z.k"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_files, op2_html_text, op3_topk_search, op4_ngram_join, op5_hamming_index, op6_line_crf, op7_byte_bpe,
-                            op8_url_filter, op9_packing, op10_toxicity)
+                            op8_url_filter, op9_packing, op10_toxicity, op13_va_clusters)
 }
 
-ORACLES: dict[str, str] = {"op3_topk_search": OP3_SQL, "op4_ngram_join": OP4_SQL}
+ORACLES: dict[str, str] = {"op3_topk_search": OP3_SQL, "op4_ngram_join": OP4_SQL, "op13_va_clusters": _op13_sql()}
