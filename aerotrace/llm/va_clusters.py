@@ -61,11 +61,11 @@ def start_centroids(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
     return np.array([r["v"] for r in rows], np.int64)
 
 
-def cell_bounds(vectors: DataFrame, dim: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def cell_bounds(vectors: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest whole number of each cell of each dimension (dim x cells); the outer ones reach to the extremes."""
     inner = [i / (1 << bits) for i in range(1, 1 << bits)]
-    per = [F.struct(F.min(F.col("v")[d]).alias("lo"), F.max(F.col("v")[d]).alias("hi"), F.percentile_approx(F.col("v")[d], inner, 2000).alias("q")) for d in range(dim)]
-    row = vectors.agg(F.array(*per).alias("b")).first()["b"]
+    per = vectors.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.percentile_approx("x", inner, 2000).alias("q"))
+    row = sorted(per.collect(), key=lambda r: r["d"])  # one row a dimension
     if max(max(abs(b["lo"]), abs(b["hi"])) for b in row) > LARGEST:
         raise ValueError(f"a component is beyond {LARGEST} after scaling: squared distances would leave 64 bits")
     low = np.array([[b["lo"], *b["q"]] for b in row], np.int64)  # a cell begins at its mark and ends before the next
@@ -180,13 +180,13 @@ def _visitor(folder: str, low: np.ndarray, high: np.ndarray, centroids: np.ndarr
     return visit
 
 
-def cluster(df: DataFrame, k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256, seed: int = 2, bits: int = 4) -> Clusters | None:
+def cluster(df: DataFrame, k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256, seed: int = 2, bits: int = 8) -> Clusters | None:
     """Clusters after ``rounds`` rounds of assignment and floored means, and one more assignment; None if no vector takes part."""
     vectors = prepared(df, dim, scale)
     centroids = start_centroids(vectors, k, seed)
     if not len(centroids):
         return None
-    low, high = cell_bounds(vectors, dim, bits)
+    low, high = cell_bounds(vectors, bits)
     folder = shared_folder(df.sparkSession, "vectors")
     blocks = approximate(vectors, low, folder)
     sums, n, fetched = np.zeros((len(centroids), dim), object), np.zeros(len(centroids), object), []
