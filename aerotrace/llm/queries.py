@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerotrace.llm import byte_bpe, hamming_index, html_text, line_crf, ngram_join, packing, token_files, topk_search, toxicity, url_filter, va_clusters
+from aerotrace.llm import byte_bpe, hamming_index, html_text, line_crf, ngram_join, packing, prefix_trie, token_files, topk_search, toxicity, url_filter, va_clusters
 from aerotrace.llm.common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -123,6 +123,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.build(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, list(x ORDER BY p) AS l FROM t GROUP BY 1),
+c AS (SELECT conv_id, l, conv_id - conv_id % 100 AS base, CAST(xor(list_reduce(list_concat([4294967295], [CAST(ord(ch) AS BIGINT) for ch in string_split(CAST(conv_id AS VARCHAR), '')]),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, i: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295) % 6 AS INTEGER) AS h FROM s),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.l, [])[:c.h], c.l[c.h + 1:]) AS l FROM c LEFT JOIN s b ON b.conv_id = c.base),
+m AS (SELECT conv_id, l, unnest(generate_series(0, len(l))) AS depth FROM r),
+n AS MATERIALIZED (SELECT l[:depth] AS pre, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(l) = depth), '') AS ends FROM m GROUP BY 1, 2),
+k AS MATERIALIZED (SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM n q WHERE q.depth = n.depth + 1 AND q.pre[:n.depth] = n.pre) AS n_children FROM n LEFT JOIN n p ON n.depth > 0 AND p.pre = n.pre[:n.depth - 1] AND p.depth = n.depth - 1),
+u AS (SELECT pre, n_children, (n_convs - 1) * coalesce(len(pre[-1].t), 0) AS saved, unnest(generate_series(0, depth)) AS d FROM k),
+g AS (SELECT pre[:d] AS pre, d AS depth, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM u GROUP BY 1, 2)
+SELECT k.conv_id, k.depth, k.parent_conv_id, k.n_convs, k.n_children, g.n_leaves, g.saved_tokens, sha256(k.ends) AS ends_sha256 FROM k JOIN g ON g.pre = k.pre AND g.depth = k.depth
+"""
+
+
 def op13_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty clusters of all vectors of 64 components after five rounds, with distances and inertia."""
     found = va_clusters.cluster(table(spark, sf_dir, "embeddings"))
@@ -150,7 +170,7 @@ FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.k = a.z.k"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_files, op2_html_text, op3_topk_search, op4_ngram_join, op5_hamming_index, op6_line_crf, op7_byte_bpe,
-                            op8_url_filter, op9_packing, op10_toxicity, op13_va_clusters)
+                            op8_url_filter, op9_packing, op10_toxicity, op11_prefix_trie, op13_va_clusters)
 }
 
-ORACLES: dict[str, str] = {"op3_topk_search": OP3_SQL, "op4_ngram_join": OP4_SQL, "op13_va_clusters": _op13_sql()}
+ORACLES: dict[str, str] = {"op3_topk_search": OP3_SQL, "op4_ngram_join": OP4_SQL, "op11_prefix_trie": OP11_SQL, "op13_va_clusters": _op13_sql()}
