@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerotrace.llm import byte_bpe, hamming_index, html_text, line_crf, ngram_join, packing, prefix_trie, token_files, topk_search, toxicity, url_filter, va_clusters
+from aerotrace.llm import byte_bpe, hamming_index, html_text, line_crf, ngram_join, packing, pitman_yor, prefix_trie, token_files, topk_search, toxicity, url_filter, va_clusters
 from aerotrace.llm.common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -143,6 +143,12 @@ SELECT k.conv_id, k.depth, k.parent_conv_id, k.n_convs, k.n_children, g.n_leaves
 """
 
 
+def op12_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a hierarchical Pitman-Yor model of nine tenths of them."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    return pitman_yor.score(table(spark, sf_dir, "documents"), held)
+
+
 def op13_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty clusters of all vectors of 64 components after five rounds, with distances and inertia."""
     found = va_clusters.cluster(table(spark, sf_dir, "embeddings"))
@@ -170,7 +176,7 @@ FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.k = a.z.k"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_files, op2_html_text, op3_topk_search, op4_ngram_join, op5_hamming_index, op6_line_crf, op7_byte_bpe,
-                            op8_url_filter, op9_packing, op10_toxicity, op11_prefix_trie, op13_va_clusters)
+                            op8_url_filter, op9_packing, op10_toxicity, op11_prefix_trie, op12_pitman_yor, op13_va_clusters)
 }
 
 ORACLES: dict[str, str] = {"op3_topk_search": OP3_SQL, "op4_ngram_join": OP4_SQL, "op11_prefix_trie": OP11_SQL, "op13_va_clusters": _op13_sql()}
