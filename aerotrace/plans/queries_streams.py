@@ -8,7 +8,9 @@ from aerotrace.operators import hooks, logs
 from aerotrace.plans.flagship import casualty_positions, sightings
 from aerotrace.plans.queries_detections import _proj
 from aerotrace.plans.queries_identity import LOG
+from aerotrace.plans.queries_tracks import STAY_BUFFERS, STAY_IDENTITIES, STAY_LEAST, STAY_TRACKS
 from aerotrace.plans.registry import query, r, rs
+from aerotrace.streaming import online
 from aerotrace.streaming import streams as st
 
 
@@ -50,15 +52,30 @@ def _(t):
     return st.run_to_table(st.dedupe_gid(e, delay="1 hour"), "dedupe").drop("ts")
 
 
-@query("stream_tracks")
+DELAY_S = 30  # how late a row of a replayed mission may be
+
+
+def in_pieces(t, build, name):
+    """The stays as a stream in three pieces: of each frame near the end of a piece the odd places come with the next one."""
+    d = t("stays").withColumn("ts", F.timestamp_seconds(F.col("frame") + 1_700_000_000))
+    last = t("stays").agg(F.max("frame")).first()[0] or 0
+    part = F.floor((F.col("frame") + F.col("place") % 2 * 20) * 3 / (last + 21))
+    return st.replay(d, part, 3, build, name)
+
+
+CLOSED = f"d AS (SELECT * FROM stays WHERE frame <= (SELECT max(frame) FROM stays) - {DELAY_S})"
+
+
+@query("stream_tracks", f"WITH {CLOSED}, {STAY_TRACKS}", "stays")
+def _(t):
+    d = in_pieces(t, lambda s: online.stream_tracks(s, delay=f"{DELAY_S} seconds"), "tracks")
+    return d.select("mission_id", "frame", "det_id", "birth_frame", "birth_det")
+
+
+@query("stream_identities", f"WITH RECURSIVE {CLOSED}, {STAY_BUFFERS}, {STAY_IDENTITIES}", "stays")
 def _(t):
-    schema = t("lineitem").schema
-    raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.sf_dir)
-    k = F.col("l_orderkey")
-    d = raw.select(F.concat(F.lit("m"), (k % 6).cast("string")).alias("mission_id"), k.alias("frame"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("det_id"),
-                   (F.col("l_partkey") * 131 % 1800).cast("double").alias("x1"), (F.col("l_suppkey") * 71 % 1000).cast("double").alias("y1"))
-    d = d.withColumns({"x2": F.col("x1") + 40, "y2": F.col("y1") + 40})
-    return st.run_to_table(st.stream_tracks(d), "tracks")
+    d = in_pieces(t, lambda s: online.stream_identities(s, delay=f"{DELAY_S} seconds", min_track=STAY_LEAST), "identities")
+    return d.select("mission_id", "flush_frame", "tid", "gid", "event", r("lat", 7).alias("lat"), r("lon", 7).alias("lon"))
 
 
 @query("link_events", """WITH l AS (SELECT user_id AS uav_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), g AS (SELECT * FROM l WHERE epoch_us(ts) - epoch_us(p) > 36000000000)
@@ -79,6 +96,22 @@ def _(t):
     return st.readiness(e, max_age=72000.0).select("uav_id", F.size("missing").alias("missing"), "ready")
 
 
+@query("stream_readiness", f"""WITH s AS (SELECT user_id AS uav_id, epoch_us(ts) AS us, {_SIG} AS signal, value > 5 AS ok FROM events), n AS (SELECT (max(us) // 1000 - 1000) * 1000 AS now FROM s),
+ f AS (SELECT uav_id, signal, max(CASE WHEN ok THEN us END) AS last FROM s, n WHERE us <= now GROUP BY 1, 2)
+SELECT uav_id, string_agg(signal, ',' ORDER BY signal) FILTER (NOT coalesce(now - last <= 72000000000, FALSE)) AS stale_of_heard, count(*) FILTER (now - last <= 72000000000) = 6 AS ready FROM f, n GROUP BY uav_id""")
+def _(t):
+    """The last row of every board; of its missing signals those that were ever heard."""
+    sig = F.element_at(F.array(*[F.lit(s) for s in st.SIGNALS]), (F.col("event_id") % 6 + 1).cast("int"))
+    e = t("events").select(F.col("user_id").alias("uav_id"), F.to_timestamp(F.col("ts").cast("string")).alias("ts"), sig.alias("signal"), (F.col("value") > 5).alias("ok"))
+    day = F.datediff("ts", F.lit("2024-01-01"))
+    board = st.replay(e, F.least(F.floor(day / 11), F.lit(2)), 3, lambda s: online.stream_readiness(s, max_age=72000.0), "board")
+    last = board.groupBy("uav_id").agg(F.max_by(F.struct("missing", "ready"), "at").alias("b"))
+    end = e.agg((F.floor(F.max(F.unix_micros("ts")) / 1000) * 1000 - 1_000_000).alias("end"))
+    heard = e.crossJoin(F.broadcast(end)).filter(F.unix_micros("ts") <= F.col("end")).groupBy("uav_id").agg(F.collect_set("signal").alias("heard"))
+    known = F.array_join(F.array_sort(F.array_intersect("b.missing", "heard")), ",")
+    return last.join(heard, "uav_id").select("uav_id", F.when(known != "", known).alias("stale_of_heard"), F.col("b.ready").alias("ready"))
+
+
 @query("stream_stats", f"""WITH l AS (SELECT 'm' || user_id % 6 AS mission_id, epoch_us(ts) // 3600000000 * 3600000000 AS start_us, CASE event_type WHEN 'view' THEN 'FRAME' WHEN 'signup' THEN 'OK' ELSE 'INFO' END AS level,
  CASE WHEN event_type = 'view' THEN event_id % 30 + 0.5 END AS v FROM events)
 SELECT mission_id, start_us, level, count(*) AS lines, {rs('avg(v)')} AS fps FROM l WHERE start_us + 3600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 10000000 FROM events) GROUP BY 1, 2, 3""")

@@ -102,6 +102,14 @@ SELECT event_id, props AS payload,
 """,
 }
 
+# People who stay at one of four places and are seen in about two of three frames.
+VIEWS["stays"] = """
+SELECT 'm' || CAST(l_orderkey % 3 AS STRING) AS mission_id, CAST(floor(l_orderkey / 3) AS BIGINT) AS frame, l_suppkey % 4 AS place, max(l_partkey) * 4 + l_suppkey % 4 AS det_id,
+  max(l_suppkey % 4 * 300 + l_partkey % 7) * CAST(1.0 AS DOUBLE) AS x1, max(l_suppkey % 4 * 120 + l_partkey % 5) * CAST(1.0 AS DOUBLE) AS y1,
+  max(l_suppkey % 4 * 300 + l_partkey % 7 + 60) * CAST(1.0 AS DOUBLE) AS x2, max(l_suppkey % 4 * 120 + l_partkey % 5 + 60) * CAST(1.0 AS DOUBLE) AS y2,
+  max(l_discount * 8) AS conf, max(l_tax * 400) AS sharpness, CAST(28.75 AS DOUBLE) + l_suppkey % 4 * CAST(0.0003 AS DOUBLE) AS lat, CAST(77.11 AS DOUBLE) AS lon
+FROM lineitem GROUP BY 1, 2, 3
+"""
 # Views beyond the fixture list: depth maps, cameras and pose pairs derived from the base tables.
 VIEWS["depth_px"] = """
 SELECT CAST(l_suppkey % 3 AS INT) AS scene, l_linenumber AS view, l_partkey % 40 AS u, l_orderkey % 30 AS v,

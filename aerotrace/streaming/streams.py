@@ -10,12 +10,12 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from aerotrace.functions import text
-from aerotrace.operators import identities, logs, tracks
+from aerotrace.operators import identities, logs
 from aerotrace.operators.runtime import ensure_checkpoint_dir
 from aerotrace.operators.telemetry import finite
 
@@ -160,32 +160,11 @@ def stream_stats(log: DataFrame, ts: str = "ts", width: str = "5 seconds", delay
     return g.select(by, F.col("window.start").alias("start"), "level", "lines", "fps")
 
 
-def _run_step(step, schema: str, by: str, by_type: str):
-    names = [c.split()[0] for c in schema.split(",")]
-
-    def on_batch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        out, after = step(rows, state.get[0] if state.exists else "")
-        state.update((after,))
-        out = out.reindex(columns=names)
-        out.insert(0, by, key[0])
-        yield out
-
-    return on_batch, f"{by} {by_type}, {schema}"
-
-
-def stream_tracks(dets: DataFrame, by: str = "mission_id", mode: str = "greedy", **rules) -> DataFrame:
-    """Online tracking with the batch step functions; frames of a mission arrive in order."""
-    step, schema = (tracks.greedy_step(**rules), tracks.TRACK_SCHEMA) if mode == "greedy" else (tracks.strict_step(**rules), tracks.BUFFER_SCHEMA)
-    fn, out = _run_step(step, schema, by, dict(dets.dtypes)[by])
-    return dets.groupBy(by).applyInPandasWithState(fn, out, "state string", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_identities(buffers: DataFrame, by: str = "mission_id", mode: str = "geo", **rules) -> DataFrame:
-    """Online identity assignment of flushed buffers, in flush order."""
-    step = tracks.geo_identity_step() if mode == "geo" else tracks.appearance_identity_step(**rules)
-    fn, out = _run_step(step, tracks.IDENTITY_SCHEMA, by, dict(buffers.dtypes)[by])
-    return buffers.groupBy(by).applyInPandasWithState(fn, out, "state string", "append", GroupStateTimeout.NoTimeout)
+def use_rocksdb(spark: SparkSession) -> None:
+    """Processors with timers need the RocksDB state store; a store that the session already names is left alone."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(name, ""):
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def run_to_table(stream: DataFrame, name: str = "stream") -> DataFrame:
@@ -196,3 +175,18 @@ def run_to_table(stream: DataFrame, name: str = "stream") -> DataFrame:
          .trigger(availableNow=True).start(f"{base}/out"))
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def replay(df: DataFrame, part: Column, parts: int, build, name: str = "replay") -> DataFrame:
+    """What a stream emits when the table arrives in ``parts`` pieces, the query being stopped and started again before each.
+
+    ``part`` numbers the piece of each row from 0; ``build`` makes the stream from its source. All runs share one checkpoint.
+    """
+    spark = df.sparkSession
+    base = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for k in range(parts):
+        df.filter(part == k).write.mode("append").parquet(f"{base}/in")
+        stream = build(spark.readStream.schema(df.schema).parquet(f"{base}/in"))
+        q = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out"))
+        q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")

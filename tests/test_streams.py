@@ -14,18 +14,6 @@ def files(spark, df, path, column, cuts):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_tracking_stream_equals_batch(spark, tmp_path):
-    from tests.test_tracks import clip
-
-    df = spark.createDataFrame(clip(1, 60, 4))
-    stream = files(spark, df, str(tmp_path / "in"), "frame", [0, 20, 40, 60])
-    got = {r.det_id: (r.birth_frame, r.birth_det) for r in st.run_to_table(st.stream_tracks(stream)).collect()}
-    from aerotrace.operators.stateful import scan_chunks
-
-    want = scan_chunks(df, ["mission_id"], "frame", 1000, tk.greedy_step(), tk.TRACK_SCHEMA)
-    assert got == {r.det_id: (r.birth_frame, r.birth_det) for r in want.collect()}
-
-
 def test_link_watch_equals_batch(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     secs = [0, 1, 2, 8, 9, 20, 21, 22, 60, 61]
