@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerotrace.operators import detections as dt
+from aerotrace.operators import identity_pass as ip
 from aerotrace.operators import tracks as tk
 from aerotrace.plans.registry import query, r, rs
 
@@ -53,7 +54,7 @@ def _(t):
 def _(t):
     d = t("stays")
     b = tk.flush_buffers(d, min_track=STAY_LEAST).join(d.select("mission_id", "frame", "det_id", "conf", "sharpness", "lat", "lon"), ["mission_id", "frame", "det_id"], "left")
-    return tk.assign_identities(b).select("mission_id", "flush_frame", "tid", "gid", "event", r("lat", 7).alias("lat"), r("lon", 7).alias("lon"))
+    return ip.assign_identities(b).select("mission_id", "flush_frame", "tid", "gid", "event", r("lat", 7).alias("lat"), r("lon", 7).alias("lon"))
 
 
 @query("track_greedy")
@@ -87,7 +88,7 @@ def buffers(t):
 
 @query("assign_identities_geo")
 def _(t):
-    return tk.assign_identities(buffers(t)).select("mission_id", "flush_frame", "tid", "gid", "event", "n", r("lat", 7).alias("lat"), r("lon", 7).alias("lon"))
+    return ip.assign_identities(buffers(t)).select("mission_id", "flush_frame", "tid", "gid", "event", "n", r("lat", 7).alias("lat"), r("lon", 7).alias("lon"))
 
 
 @query("assign_identities_appearance")
@@ -96,7 +97,7 @@ def _(t):
     rows = o.groupBy("mission_id", "tid", "part").agg(F.max("frame").alias("flush_frame"), F.array_sort(F.collect_list(F.struct("frame", "lat", "lon", "embedding"))).alias("e"))
     rows = rows.select("mission_id", (F.col("tid") * 1000 + F.col("part")).alias("tid"), "flush_frame", F.transform("e", lambda x: F.array(x["lat"], x["lon"])).alias("points"),
                        F.transform("e", lambda x: x["embedding"]).alias("embeds"))
-    return tk.assign_identities(rows, "appearance", min_cosine=0.5).select("mission_id", "flush_frame", "tid", "gid", "event", "n", r("lat", 7).alias("lat"), r("lon", 7).alias("lon"))
+    return ip.assign_identities(rows, "appearance", min_cosine=0.5).select("mission_id", "flush_frame", "tid", "gid", "event", "n", r("lat", 7).alias("lat"), r("lon", 7).alias("lon"))
 
 
 @query("throttle", f"""WITH RECURSIVE o AS (SELECT mission_id, t, row_number() OVER (PARTITION BY mission_id ORDER BY t) AS k FROM telemetry),

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from aerotrace.operators import tracks
+from aerotrace.operators import identity_pass, tracks
 from aerotrace.streaming.streams import SIGNALS, use_rocksdb
 
 IDENTITY_COLS = ("frame", "det_id", "x1", "y1", "x2", "y2", "conf", "sharpness", "lat", "lon")
@@ -101,7 +101,7 @@ def identity_chain(**rules):
 
     The state is that of the tracker, the number of tracks so far, those still open with the values of their buffered detections, and the identities.
     """
-    track, assign = tracks.strict_step(**rules), tracks.geo_identity_step()
+    track, assign = tracks.strict_step(**rules), identity_pass.by_place_step()
 
     def step(rows: pd.DataFrame, text: str):
         st = json.loads(text) if text else {"t": "", "n": 0, "tid": {}, "val": {}, "id": ""}
@@ -125,7 +125,7 @@ def identity_chain(**rules):
             del st["tid"][born]
         open_ = {f"{f}/{d}" for t in json.loads(st["t"] or "[]") for f, d in t["h"]}
         st["val"] = {k: v for k, v in values.items() if k in open_}
-        out = pd.DataFrame([], columns=[c.split()[0] for c in tracks.IDENTITY_SCHEMA.split(", ")])
+        out = pd.DataFrame([], columns=[c.split()[0] for c in identity_pass.IDENTITY_SCHEMA.split(", ")])
         if buffers:
             frame = pd.DataFrame(buffers, columns=["kind", "tid", "flush_frame", "frame", "conf", "sharpness", "lat", "lon"])
             out, st["id"] = assign(frame, st["id"])
@@ -135,7 +135,7 @@ def identity_chain(**rules):
 
 def stream_identities(dets: DataFrame, by: str = "mission_id", delay: str = "2 seconds", idle: dt.timedelta = dt.timedelta(hours=6), **rules) -> DataFrame:
     """Identity of every buffer of the closed frames, straight from located detections."""
-    return _closed_frames(dets.select(by, "ts", *IDENTITY_COLS), identity_chain(**rules), tracks.IDENTITY_SCHEMA, by, delay, idle)
+    return _closed_frames(dets.select(by, "ts", *IDENTITY_COLS), identity_chain(**rules), identity_pass.IDENTITY_SCHEMA, by, delay, idle)
 
 
 # ---- readiness ------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerotrace.operators import clusters, clouds, depth, embeddings, grids, identities, lidar, ranks, telemetry
+from aerotrace.operators import identity_pass as ip
 from aerotrace.operators import tracks as tk
 
 
@@ -62,7 +63,7 @@ def test_history_keeps_the_last_known(spark):
 def test_a_track_without_fixes_gets_no_identity(spark):
     rows = [("m", 10, 1, [], [[1.0, 0.0]]), ("m", 20, 2, [[28.0, 77.0]], [[1.0, 0.0]]), ("m", 30, 3, [[28.0, 77.00001]], [[1.0, 0.1]]), ("m", 40, 4, [[28.0, 77.0]], None)]
     df = spark.createDataFrame(rows, "mission_id string, flush_frame long, tid long, points array<array<double>>, embeds array<array<double>>")
-    got = {r["tid"]: (r["gid"], r["event"]) for r in tk.assign_identities(df, "appearance").collect()}
+    got = {r["tid"]: (r["gid"], r["event"]) for r in ip.assign_identities(df, "appearance").collect()}
     assert got == {2: (1, "new"), 3: (1, "merge"), 4: (1, "merge")}
 
 

@@ -5,6 +5,7 @@ import datetime as dt
 import pandas as pd
 from pyspark.sql import functions as F
 
+from aerotrace.operators import identity_pass as ip
 from aerotrace.operators import tracks as tk
 from aerotrace.operators.stateful import scan_chunks
 from aerotrace.streaming import online
@@ -38,7 +39,7 @@ def test_identities_from_detections(spark):
     got = st.replay(d, F.floor((F.col("frame") + F.col("det_id") % 2 * 7) * 4 / 210), 4, lambda s: online.stream_identities(s, delay="8 seconds", min_track=10)).drop("mission_id")
     done = d.filter(F.col("frame") <= pdf.frame.max() - 8)
     b = tk.flush_buffers(done, min_track=10).join(done.select("mission_id", "frame", "det_id", "conf", "sharpness", "lat", "lon"), ["mission_id", "frame", "det_id"], "left")
-    want = tk.assign_identities(b).drop("mission_id")
+    want = ip.assign_identities(b).drop("mission_id")
     rows = lambda x: sorted((tuple(None if v is None or v != v else v for v in r) for r in x.select("flush_frame", "tid", "gid", "event", "n", "lat", "lon").collect()), key=str)
     assert rows(got) == rows(want) and len(rows(want)) > 5
 

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from aerotrace.operators import identity_pass as ip
 from aerotrace.operators import tracks as tk
 
 
@@ -104,15 +105,63 @@ def test_identity_rules(spark):
             + entries(1, 200, 28.7, 1, "delete") + entries(3, 260, 28.7 + 29 * metre) + entries(4, 260, far + 5.001 * metre)
             + entries(5, 400, 28.9) + entries(6, 400, 28.9) + [("m", "delete", t, 450, 450, None, None, None, None) for t in (5, 6)] + entries(7, 500, 28.9))
     df = spark.createDataFrame(rows, "mission_id string, kind string, tid bigint, flush_frame bigint, frame bigint, conf double, sharpness double, lat double, lon double")
-    expect = None
-    for chunk in (10_000, 250):
-        got = {(r.tid, r.flush_frame): (r.gid, r.event) for r in tk.assign_identities(df, chunk=chunk).collect()}
+    for parts in (1, 5):
+        got = {(r.tid, r.flush_frame): (r.gid, r.event) for r in ip.assign_identities(df.repartition(parts)).collect()}
         assert got[(1, 60)] == (1, "new") and got[(2, 60)] == (2, "new") and got[(1, 120)] == (1, "merge")
         assert got[(4, 260)] == (4, "new") or got[(4, 260)] == (3, "new")       # the live identity 2 is excluded, and 5 m is no match
         assert {got[(5, 400)][1], got[(6, 400)][1]} == {"new"}                  # two at once are compared with stored ones only
         assert got[(7, 500)] == (None, "unassigned")                            # two matches leave the buffer out
-        expect = expect or got
-        assert got == expect
+
+
+def plain_identities(pdf):
+    """All buffers of a mission in order against all identities."""
+    model, out = ip.ByPlace(), []
+    for flush, part in pdf.groupby("flush_frame", sort=True):
+        rows = []
+        for (kind, tid), e in part.groupby(["kind", "tid"], sort=True):
+            g = ip.gallery(e.sort_values("frame")[["frame", "conf", "sharpness", "lat", "lon"]].to_numpy(float)) if kind == "flush" else np.empty((0, 5))
+            rows.append((kind, tid, g, ip.place(g) if len(g) else None))
+        out += model.decide(flush, rows)
+    return {(r[1], r[0]): (None if r[2] is None else r[2] + 1, *r[3:]) for r in out}
+
+
+def test_components_decide_as_one_pass_and_rounds_do_not_grow(spark, monkeypatch):
+    from aerotrace.operators import clusters, ordered, runtime
+
+    rounds = []
+    for module in (ip, clusters, ordered):
+        if hasattr(module, "cut"):
+            monkeypatch.setattr(module, "cut", lambda d: (rounds.append(1), runtime.cut(d))[1])
+    used = {}
+    for buffers in (60, 600):  # ten times as long a mission
+        rng, rows = np.random.default_rng(8), []
+        homes = rng.uniform(0, 0.01, (30, 2))
+        for k in range(buffers):
+            tid, home = k // 2 + 1, homes[rng.integers(30)] if k % 2 == 0 else home
+            for i in range(4):
+                at = home + rng.normal(scale=1e-6, size=2)
+                rows.append(("m", "flush", tid, 60 * k, 60 * k - i, 0.5 + i / 10, 50.0 + i, float(28 + at[0]) if rng.random() < 0.9 else None, float(77 + at[1])))
+            if k % 2:
+                rows.append(("m", "delete", tid, 60 * k + 30, None, None, None, None, None))
+        pdf = pd.DataFrame(rows, columns=["mission_id", "kind", "tid", "flush_frame", "frame", "conf", "sharpness", "lat", "lon"])
+        df = spark.createDataFrame(rows, "mission_id string, kind string, tid bigint, flush_frame bigint, frame bigint, conf double, sharpness double, lat double, lon double")
+        rounds.clear()
+        got = {(r.tid, r.flush_frame): (r.gid, r.event, r.n, r.lat, r.lon) for r in ip.assign_identities(df).collect()}
+        used[buffers] = len(rounds)
+        assert got == plain_identities(pdf) and len({g[0] for g in got.values()}) > 20
+    assert used[600] <= used[60] + 4  # the component search may take a contraction more
+
+
+def test_weighted_cloud_equals_all_points():
+    rng = np.random.default_rng(1)
+    pts, cloud = np.empty((0, 2)), ip.Cloud()
+    for _ in range(6):
+        new = np.round(rng.uniform(0, 0.0005, (9, 2)), 4) + [28, 77]
+        cloud.add(new)
+        pts = np.vstack((pts, new))
+        cost = ip.arcs(pts, pts).sum(1)
+        np.testing.assert_allclose(ip.arcs(cloud.centre()[None], pts).sum(), cost.min())
+        np.testing.assert_allclose(cloud.weight.sum(), len(pts))
 
 
 def test_throttle_matches_a_plain_loop(spark):
