@@ -302,16 +302,25 @@ def _flights(t):
     return sw, tele
 
 
-@query("align_sweeps")
+# Sweeps are telemetry rows themselves: each is matched to its own row, and one without a position, which is as far from every row, to the row after the sweep before it.
+_ALIGNED = """te AS (SELECT mission_id AS flight, CAST(trunc(t * 100) AS BIGINT) AS frame, lat, alt, roll, pitch, row_number() OVER (PARTITION BY mission_id ORDER BY t) AS rn FROM telemetry),
+ sw AS (SELECT *, sum(CASE WHEN lat IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY flight ORDER BY frame) AS g FROM te WHERE frame % 40 = 0),
+ z AS (SELECT *, coalesce(max(CASE WHEN lat IS NOT NULL THEN rn END) OVER (PARTITION BY flight, g) - 1, 0) + row_number() OVER (PARTITION BY flight, g ORDER BY frame) AS m FROM sw),
+ al AS (SELECT z.flight, z.frame AS sweep_id, te.frame, greatest(abs(te.alt - z.alt), abs(te.roll - z.roll), abs(te.pitch - z.pitch)) AS residual FROM z JOIN te ON te.flight = z.flight AND te.rn = z.m)"""
+
+
+@query("align_sweeps", f"WITH {_ALIGNED} SELECT flight, sweep_id, frame, {rs('residual')} AS residual FROM al", "telemetry")
 def _(t):
     sw, tele = _flights(t)
-    return ld.align_sweeps(sw, tele)
+    return ld.align_sweeps(sw, tele).select("flight", "sweep_id", "frame", r("residual").alias("residual"))
 
 
-@query("alignment_report")
+@query("alignment_report", f"""WITH {_ALIGNED}, g AS (SELECT *, frame - lag(frame) OVER (PARTITION BY flight ORDER BY sweep_id) AS gap FROM al)
+SELECT flight, {rs('quantile_cont(CAST(residual AS DOUBLE), 0.5)')} AS residual_median, {rs('quantile_cont(CAST(residual AS DOUBLE), 0.99)')} AS residual_p99, {rs('quantile_cont(CAST(gap AS DOUBLE), 0.5)')} AS gap_median FROM g GROUP BY flight""", "telemetry")
 def _(t):
     sw, tele = _flights(t)
-    return ld.alignment_report(ld.align_sweeps(sw, tele))
+    d = ld.alignment_report(ld.align_sweeps(sw, tele))
+    return d.select("flight", *[r(c).alias(c) for c in ("residual_median", "residual_p99", "gap_median")])
 
 
 @query("nearest_sweep", f"""WITH s AS (SELECT mission_id, frame * 1.0 AS t FROM frames WHERE frame % 7 = 0), p AS (SELECT f.mission_id, f.frame, s.t AS a FROM frames f ASOF LEFT JOIN s ON f.mission_id = s.mission_id AND f.frame >= s.t), n AS (SELECT f.mission_id, f.frame, s.t AS b FROM frames f ASOF LEFT JOIN s ON f.mission_id = s.mission_id AND f.frame <= s.t),

@@ -122,7 +122,8 @@ def _(t):
 
 
 def _sql_dilate(src, k):
-    offs = ", ".join(f"({i},{j})" for i, j in gr.ellipse(k))
+    wide = gr.half_widths(k)
+    offs = ", ".join(f"({i},{j})" for i in range(1 - len(wide), len(wide)) for j in range(-wide[abs(i)], wide[abs(i)] + 1))
     return f"(SELECT DISTINCT m.frame, m.r + o.x AS r, m.c + o.y AS c FROM {src} m, (VALUES {offs}) o(x, y) WHERE m.r + o.x BETWEEN 0 AND {H - 1} AND m.c + o.y BETWEEN 0 AND {W - 1})"
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from aerotrace.operators import hooks, logs
+from aerotrace.operators.runtime import ensure_checkpoint_dir
 from aerotrace.plans.flagship import casualty_positions, sightings
 from aerotrace.plans.queries_detections import _proj
 from aerotrace.plans.queries_identity import LOG
 from aerotrace.plans.queries_tracks import STAY_BUFFERS, STAY_IDENTITIES, STAY_LEAST, STAY_TRACKS
 from aerotrace.plans.registry import query, r, rs
-from aerotrace.streaming import online
+from aerotrace.streaming import online, runs
 from aerotrace.streaming import streams as st
 
 
@@ -130,10 +133,16 @@ def _(t):
     return st.run_to_table(st.link_watch(e, 36000.0), "link").select("uav_id", "kind", F.unix_micros("at").alias("at_us"))
 
 
-@query("publish_gids", "SELECT mission_id, gid, count(*) AS updates, max(last_frame) AS last_frame FROM buffers WHERE gid % 3 = 0 GROUP BY 1, 2", "buffers")
+@query("publish_gids", f"""WITH {LOG}, a AS (SELECT mission_id, CAST(regexp_extract(msg, 'GID=(\\d+)\\s+Folder ready', 1) AS BIGINT) AS gid, line_no FROM lg WHERE regexp_matches(msg, 'GID=(\\d+)\\s+Folder ready')),
+ k AS (SELECT *, row_number() OVER (PARTITION BY mission_id, gid ORDER BY line_no) AS seen FROM a), h AS (SELECT *, row_number() OVER (PARTITION BY mission_id, gid ORDER BY update_no) AS updates, count(*) OVER (PARTITION BY mission_id, gid) AS total,
+  max(last_frame) OVER (PARTITION BY mission_id, gid ORDER BY update_no) AS newest FROM buffers)
+SELECT k.mission_id, k.gid, k.seen, h.updates, h.event, h.newest AS last_frame FROM k JOIN h ON h.mission_id = k.mission_id AND h.gid = k.gid AND h.updates = least(k.seen, h.total)""", "mission_log buffers")
 def _(t):
-    b = t("buffers")
-    return st.publish_gids(b.filter("gid % 3 = 0").select("mission_id", "gid"), b).select("mission_id", "gid", "updates", "last_frame")
+    log = logs.parse_lines(t("mission_log")).withColumnRenamed("line_no", "at")
+    last = log.agg(F.max("at")).first()[0] or 0
+    folder = f"{ensure_checkpoint_dir(t.spark)}/published-{uuid.uuid4().hex}"
+    st.replay(log, F.floor(F.col("at") * 3 / (last + 1)), 3, lambda s: runs.watch_runs(s, "mission_id"), "publish", runs.publisher(t("buffers"), folder))
+    return t.spark.read.parquet(f"{folder}/batch=*").select("mission_id", "gid", "seen", "updates", "event", "last_frame")
 
 
 @query("score", "SELECT vec_id, CAST(round(list_sum([abs(x) for x in CAST(embedding AS DOUBLE[])]), 4) + 0.0 AS DOUBLE) AS score FROM embeddings")

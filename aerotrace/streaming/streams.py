@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from aerotrace.functions import text
-from aerotrace.operators import identities, logs
+from aerotrace.operators import logs
 from aerotrace.operators.runtime import ensure_checkpoint_dir
 from aerotrace.operators.telemetry import finite
 
@@ -42,12 +42,6 @@ def stream_gid_events(log: DataFrame) -> DataFrame:
     return log.withColumn("gid", text.ready_gid("msg")).filter(F.col("gid").isNotNull())
 
 
-def publish_gids(events: DataFrame, buffers: DataFrame, keys: Sequence[str] = ("mission_id", "gid")) -> DataFrame:
-    """Records of the announced identities, for use inside ``foreachBatch``."""
-    known = buffers.join(events.select(*keys).distinct(), list(keys), "left_semi")
-    return identities.gid_summary(known, keys)
-
-
 def dedupe_gid(gids: DataFrame, keys: Sequence[str] = ("mission_id", "gid", "updates"), ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """Drop resends of the same record version."""
     return gids.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
@@ -177,16 +171,17 @@ def run_to_table(stream: DataFrame, name: str = "stream") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def replay(df: DataFrame, part: Column, parts: int, build, name: str = "replay") -> DataFrame:
+def replay(df: DataFrame, part: Column, parts: int, build, name: str = "replay", publish=None) -> DataFrame | None:
     """What a stream emits when the table arrives in ``parts`` pieces, the query being stopped and started again before each.
 
-    ``part`` numbers the piece of each row from 0; ``build`` makes the stream from its source. All runs share one checkpoint.
+    ``part`` numbers the piece of each row from 0; ``build`` makes the stream from its source. All runs share one checkpoint. ``publish`` takes
+    the batches in place of the file sink.
     """
     spark = df.sparkSession
     base = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     for k in range(parts):
         df.filter(part == k).write.mode("append").parquet(f"{base}/in")
         stream = build(spark.readStream.schema(df.schema).parquet(f"{base}/in"))
-        q = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out"))
-        q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+        out = stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+        (out.foreachBatch(publish).start() if publish else out.format("parquet").start(f"{base}/out")).awaitTermination()
+    return None if publish else spark.read.schema(stream.schema).parquet(f"{base}/out")

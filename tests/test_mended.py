@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from aerotrace.operators import clusters, clouds, depth, embeddings, grids, identities, lidar, ranks, telemetry
+from aerotrace.operators import clusters, clouds, depth, embeddings, identities, ranks, telemetry
 from aerotrace.operators import identity_pass as ip
 from aerotrace.operators import tracks as tk
 
@@ -88,31 +88,6 @@ def test_percentiles_with_a_far_outlier(spark):
     assert np.allclose([got["a"], got["b"]], np.percentile(v, [30, 90]))
 
 
-def test_alignment_equals_a_plain_table():
-    rng = np.random.default_rng(6)
-    for n, m in ((1, 1), (1, 5), (4, 4), (6, 15), (9, 10)):
-        rows = np.cumsum(rng.normal(size=(m, 6)), 0)
-        rows[:, 5] %= 360
-        sweeps = rows[np.sort(rng.choice(m, n, replace=False))] + rng.normal(scale=1e-7, size=(n, 6))
-        gap = np.array([lidar.pose_gap(s, rows) for s in sweeps])
-        best = np.full((n, m), np.inf)
-        best[0] = gap[0]
-        for i in range(1, n):
-            for j in range(i, m):
-                best[i, j] = gap[i, j] + best[i - 1, :j].min()
-        got = lidar.rising_match(sweeps, rows)
-        assert (np.diff(got) > 0).all() and np.isclose(gap[np.arange(n), got].sum(), best[-1].min())
-
-
-def test_routes_do_not_depend_on_the_method(spark):
-    rng = np.random.default_rng(2)
-    cells = [(f, r, c, float(rng.choice([1.0, 1.1, 1.6]))) for f in range(2) for r in range(9) for c in range(11) if rng.random() > 0.25 or (r, c) in ((0, 0), (8, 10))]
-    df = spark.createDataFrame(cells, "frame int, r long, c long, cost double")
-    ends = spark.createDataFrame([(f, 0, 0, 8, 10) for f in range(2)], "frame int, start_r long, start_c long, goal_r long, goal_c long")
-    one, two = (sorted(map(tuple, grids.routes(df, ends, search_cells=k).collect())) for k in (10**6, 1))
-    assert [x[:4] for x in one] == [x[:4] for x in two] and np.allclose([x[4] for x in one], [x[4] for x in two])
-
-
 def test_galleries_compare_as_their_pairs_do():
     rng = np.random.default_rng(8)
     a, b = rng.normal(size=(7, 24)), rng.normal(size=(5, 24)) + 0.4
