@@ -24,6 +24,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -115,10 +116,19 @@ def readings(c: str) -> list[tuple[str, float]]:
     return out if c.isdigit() and out else [*out, ("", DROP)]
 
 
-def put(state: dict, past: int, last: str, cost: float, path: tuple | None) -> None:
-    old = state.get((past, last))
-    if old is None or cost < old[0]:
-        state[past, last] = (cost, path)
+@lru_cache(maxsize=4096)
+def _read(c: str) -> tuple[tuple[str, float, tuple[int, ...]], ...]:
+    return tuple((letter, price, tuple(symbols(letter))) for letter, price in readings(c))
+
+
+_costs: list = [None, []]
+
+
+def symbol_costs(model: np.ndarray) -> list[float]:
+    """The model's negative logarithms as plain numbers, made once for each model a worker uses."""
+    if _costs[0] is not model:
+        _costs[:] = model, (-model.astype(np.float64)).tolist()
+    return _costs[1]
 
 
 def segment(run: str, model: np.ndarray, ends: bool = True, gaps: bool = False) -> list[str]:
@@ -126,33 +136,46 @@ def segment(run: str, model: np.ndarray, ends: bool = True, gaps: bool = False)
 
     With ``ends`` a word may end at a sign that the channel drops, with ``gaps`` after any character; else the run is one word. A word is as likely after a word end as at the beginning.
     """
+    costs, keep, begin = symbol_costs(model), (1 << 3 * BITS) - 1, (0, "")
     # (last three symbols, last letter) -> cost, path; a path is the letter and the path before it
-    state: dict[tuple[int, str], tuple[float, tuple | None]] = {(0, ""): (0.0, None)}
-    keep = (1 << 3 * BITS) - 1
+    state: dict[tuple[int, str], tuple[float, tuple | None]] = {begin: (0.0, None)}
     for c in ALIKE.sub(lambda m: m.group()[:4], run.lower()):
         nxt: dict[tuple[int, str], tuple[float, tuple | None]] = {}
-        read = [(letter, price, symbols(letter)) for letter, price in readings(c)]
-        for (past, last), (cost, path) in state.items():
+        get, read = nxt.get, _read(c)
+        for key, (cost, path) in state.items():
+            past, last = key
             for letter, price, codes in read:
-                if not letter:
-                    put(nxt, past, last, cost + price, path)
-                    if ends and past & SPACE_AT:
-                        put(nxt, 0, "", cost + price - float(model[past << BITS]), (" ", path))
+                base = cost + price
+                if letter:
+                    p, total = past, base
+                    for s in codes:
+                        p = (p << BITS) | s
+                        total += costs[p]
+                        p &= keep
+                    to = (p, letter)
+                    old = get(to)
+                    if old is None or total < old[0]:
+                        nxt[to] = (total, (letter, path))
+                    if letter == last:  # one letter, held
+                        total, old = base + SHORTEN, get(key)
+                        if old is None or total < old[0]:
+                            nxt[key] = (total, path)
                     continue
-                p, total = past, cost + price
-                for s in codes:
-                    at = (p << BITS) | s
-                    total -= float(model[at])
-                    p = at & keep
-                put(nxt, p, letter, total, (letter, path))
-                if letter == last:  # one letter, held
-                    put(nxt, past, last, cost + price + SHORTEN, path)
+                old = get(key)
+                if old is None or base < old[0]:
+                    nxt[key] = (base, path)
+                if ends and past & SPACE_AT:
+                    total, old = base + costs[past << BITS], get(begin)
+                    if old is None or total < old[0]:
+                        nxt[begin] = (total, (" ", path))
         if gaps:
             for (past, _), (cost, path) in list(nxt.items()):
                 if past & SPACE_AT:
-                    put(nxt, 0, "", cost - float(model[past << BITS]), (" ", path))
+                    total, old = cost + costs[past << BITS], get(begin)
+                    if old is None or total < old[0]:
+                        nxt[begin] = (total, (" ", path))
         state = nxt
-    end = [(cost - (float(model[past << BITS]) if past & SPACE_AT else 0.0), path) for (past, _), (cost, path) in state.items()]
+    end = [(cost + (costs[past << BITS] if past & SPACE_AT else 0.0), path) for (past, _), (cost, path) in state.items()]
     path, out = min(end, key=lambda e: e[0])[1] if end else None, []
     while path:
         out.append(path[0])
