@@ -9,9 +9,12 @@ levels, so no window ever holds more than a segment, 1024 summaries, or 1/1024 o
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 SUMMARY_FAN = 1024
 
@@ -132,7 +135,7 @@ def linear_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], segment:
     """State of y_i = a_i * y_(i-1) + b_i, with y before the first row taken as 0.
 
     Each step is an affine map and affine maps compose, so a segment reduces to one map; the
-    maps are folded over segments and the result seeds each segment's own fold. The two folds
+    maps are folded over segments and the result seeds each segment, whose states are then made one after the other in one Arrow pass. Both
     run over the sorted array of one segment, or of one segment's summaries.
     """
     by = list(by)
@@ -149,15 +152,23 @@ def linear_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], segment:
     segs = segs.withColumn("__m", F.aggregate("__rows", ident, step))
     seeded = _compose(segs.select(*keys, "__m"), by)
     segs = segs.join(seeded, keys, "left")
-    empty = F.expr("cast(array() as array<double>)")
-    ys = F.aggregate("__rows", F.struct(F.col("__y0").alias("y"), empty.alias("ys")),
-                     lambda acc, x: F.struct((x["__a"] * acc["y"] + x["__b"]).alias("y"),
-                                             F.concat(acc["ys"], F.array(x["__a"] * acc["y"] + x["__b"])).alias("ys")),
-                     lambda acc: acc["ys"])
+    part = lambda name: F.transform("__rows", lambda x: x[name])
+    gap = F.array_position(F.transform("__rows", lambda x: x["__a"].isNull() | x["__b"].isNull()), True)  # from the first NULL on there is no state
+    ys = _unrolled(part("__a"), part("__b"), F.when(F.col("__y0").isNull(), 0).when(gap > 0, gap - 1).otherwise(F.size("__rows")).cast("int"), F.coalesce("__y0", F.lit(0.0)))
     return (segs.select(F.explode(F.arrays_zip(F.col("__rows").alias("r"), ys.alias("y"))).alias("__z"))
             .select("__z.r.__all.*", F.col("__z.y").alias(out)))
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _unrolled(a: pd.Series, b: pd.Series, known: pd.Series, start: pd.Series) -> pd.Series:
+    """All states of a segment, one after the other; NULL behind the first ``known``."""
+    def states(a, b, n, y):
+        out = list(accumulate(zip(a[:n].tolist(), b[:n].tolist(), strict=True), lambda y, m: m[0] * y + m[1], initial=y))[1:]
+        return out + [None] * (len(a) - n)
+
+    return pd.Series([states(*row) for row in zip(a, b, known, start, strict=True)])
+
+
 def _compose(maps: DataFrame, by: list[str]) -> DataFrame:
     """y at the start of each segment, from one affine map per segment, in two levels."""
     m = maps.withColumn("__sup", F.floor(F.col("__seg") / SUMMARY_FAN))
