@@ -14,6 +14,7 @@ from aerotrace.operators import embeddings as em
 from aerotrace.operators import identities as idn
 from aerotrace.operators import lidar as ld
 from aerotrace.operators import telemetry as tm
+from aerotrace.operators.runtime import cut
 from aerotrace.plans.registry import hav, query, r, rs
 
 PX = "scene, view, u, v"
@@ -176,6 +177,37 @@ def _(t):
     return cd.thin(t("points"), 0.8)
 
 
+# Which rows a seeded sample keeps is its own choice; how many, and that they are whole rows of the input and differ, is not.
+def _kept(rows, source, by, ids):
+    """Rows kept per group, different ones, and those that are no rows of the source."""
+    known = source.select(*by, *ids).distinct().withColumn("__known", F.lit(1))
+    d = rows.join(known, [*by, *ids], "left").groupBy(*by)
+    return d.agg(F.count("*").alias("kept"), F.countDistinct(*ids).alias("different"), F.count_if(F.col("__known").isNull()).alias("foreign"))
+
+
+@query("cap_points_audit", "SELECT scene, least(300, count(*)) AS kept, least(300, count(*)) AS different, 0 AS \"foreign\" FROM points GROUP BY scene", "points")
+def _(t):
+    return _kept(cd.cap_points(t("points"), 300), t("points"), ["scene"], ["pt"])
+
+
+@query("sample_frames_audit", "SELECT mission_id, least(100, count(*)) AS kept, least(100, count(*)) AS different, 0 AS \"foreign\" FROM frames GROUP BY mission_id", "frames")
+def _(t):
+    return _kept(cd.hash_sample(t("frames"), 100, ["mission_id"], ["frame"]), t("frames"), ["mission_id"], ["frame"])
+
+
+@query("thin_audit", "SELECT scene, 0 AS uncovered, 0 AS crowded FROM points GROUP BY scene", "points")
+def _(t):
+    """Points farther than the radius from every kept one, and kept points with another one within it: none of either."""
+    p, kept = t("points"), cut(cd.thin(t("points"), 0.8))
+    far = cd.nn_distance(p, kept, cell=0.8, max_r=0.8).groupBy("scene").agg(F.count_if(F.col("distance").isNull()).alias("uncovered"))
+    box = kept.withColumns({f"b{k}": F.floor(F.col(k) / 0.8) for k in "xyz"})
+    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    moved = box.withColumn("o", F.explode(shifts)).select("scene", F.col("pt").alias("other"), *[F.col(k).alias(f"o{k}") for k in "xyz"], *[(F.col(f"b{k}") + F.col(f"o.{o}")).alias(f"b{k}") for k, o in zip("xyz", "ijk")])
+    near = box.join(moved, ["scene", "bx", "by", "bz"]).filter("pt <> other AND sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy) + (z - oz) * (z - oz)) <= 0.8")
+    crowd = near.groupBy("scene").agg(F.countDistinct("pt").alias("crowded"))
+    return far.join(crowd, "scene", "left").select("scene", "uncovered", F.coalesce("crowded", F.lit(0)).alias("crowded"))
+
+
 def poses(t, a, x, y):
     return t("pose_pairs").select("scene", "view", rot.euler_to_mat(0.0, 0.0, a, x, y, 0.5, radians=True).alias("m"))
 
@@ -411,6 +443,14 @@ def _(t):
     return em.pk_batches(t("embeddings").select((F.col("vec_id") % 83).alias("pid"), F.col("vec_id").alias("img")), 8, 4)
 
 
+@query("pk_batches_audit", """WITH n AS (SELECT vec_id % 83 AS pid, count(*) AS n FROM embeddings GROUP BY 1 HAVING count(*) >= 2), b AS (SELECT unnest(range(CAST(count(*) AS BIGINT) // 8)) AS batch FROM n)
+SELECT batch, 8 AS pids, 32 AS rows, 32 AS slots, 0 AS foreign_images FROM b""")
+def _(t):
+    """Every batch has eight identities with four images of their own each."""
+    d = em.pk_batches(t("embeddings").select((F.col("vec_id") % 83).alias("pid"), F.col("vec_id").alias("img")), 8, 4)
+    return d.groupBy("batch").agg(F.countDistinct("pid").alias("pids"), F.count("*").alias("rows"), F.countDistinct("pid", "slot").alias("slots"), F.count_if(F.col("img") % 83 != F.col("pid")).alias("foreign_images"))
+
+
 @query("hard_pairs", f"""WITH b AS (SELECT vec_id // 32 AS batch, vec_id AS img, label AS pid, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT a.batch, a.img, a.pid, b.pid AS q, list_distance(a.e, b.e) AS d FROM b a JOIN b ON a.batch = b.batch AND a.img <> b.img)
 SELECT batch, img, {rs('max(d) FILTER (pid = q)',5)} AS hard_pos, {rs('min(d) FILTER (pid <> q)',5)} AS hard_neg FROM d GROUP BY 1, 2""")
 def _(t):

@@ -44,6 +44,11 @@ def _(t):
     return tk.track_greedy(t("stays"))
 
 
+@query("close_stays", "WITH d AS (SELECT * FROM stays), s AS ({}), t AS (SELECT *, dense_rank() OVER (PARTITION BY mission_id ORDER BY birth_frame, birth_det) AS tid FROM s) SELECT mission_id, tid, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS hits, max(frame) + 4 AS closed_frame FROM t GROUP BY 1, 2 HAVING count(*) >= 2".format("WITH " + STAY_TRACKS), "stays")
+def _(t):
+    return tk.close_tracks(tk.track_greedy(t("stays")))
+
+
 @query("buffer_stays", f"WITH RECURSIVE d AS (SELECT * FROM stays), {STAY_BUFFERS} SELECT mission_id, tid, CASE WHEN n >= {STAY_LEAST} THEN 'flush' ELSE 'delete' END AS kind, frame + 59 AS flush_frame, CASE WHEN n >= {STAY_LEAST} THEN n ELSE 0 END AS entries FROM t WHERE frame + 59 <= clock", "stays")
 def _(t):
     b = tk.flush_buffers(t("stays"), min_track=STAY_LEAST)
