@@ -26,44 +26,82 @@ def _around() -> Column:
                                for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
 
 
+def _leaves(ref: DataFrame, by: list[str], cell: float) -> DataFrame:
+    """Reference points in arrays of about ``BLOCK``, by cell."""
+    refs = ref.select(*by, *XYZ).distinct().withColumns(_cell(cell)).withColumn("__b", F.pmod(F.xxhash64(*XYZ), F.lit(2 ** 31 - 1)))
+    n = refs.groupBy(*by, "cx", "cy", "cz").agg(F.count("*").alias("__n"))
+    packed = refs.join(n, [*by, "cx", "cy", "cz"]).groupBy(*by, "cx", "cy", "cz", F.pmod("__b", F.ceil(F.col("__n") / BLOCK)).alias("__b"))
+    return cut(packed.agg(F.collect_list(F.struct(*XYZ)).alias("__r"), *[f(k).alias(f"{n}{k}") for k in XYZ for n, f in (("lo", F.min), ("hi", F.max))]))
+
+
+def _boxes(d: DataFrame, by: list[str], at: dict[str, Column], extra: Sequence[Column] = ()) -> DataFrame:
+    """Boxes around the boxes that share a cell."""
+    return d.withColumns(at).groupBy(*by, *at).agg(*[F.min(f"lo{k}").alias(f"lo{k}") for k in XYZ], *[F.max(f"hi{k}").alias(f"hi{k}") for k in XYZ], *extra)
+
+
+def _reach(near: bool) -> Column:
+    """Least, or greatest, distance between a point of the box q and a point of the box r."""
+    gap = lambda k: F.greatest(F.lit(0.0), F.col(f"lo{k}") - F.col(f"q_hi{k}"), F.col(f"q_lo{k}") - F.col(f"hi{k}")) if near else F.greatest(F.col(f"hi{k}") - F.col(f"q_lo{k}"), F.col(f"q_hi{k}") - F.col(f"lo{k}"))
+    return F.sqrt(gap("x") * gap("x") + gap("y") * gap("y") + gap("z") * gap("z"))
+
+
+def _candidates(left: DataFrame, leaves: DataFrame, by: list[str], cell: float, max_r: float | None) -> DataFrame:
+    """Cells of references (cx, cy, cz) that may hold the nearest one of some point of a query cell (qx, qy, qz).
+
+    Boxes of references are joined four by four by four into larger ones until a scene has at most a few. Query boxes begin with those and descend: a box whose nearest point is
+    farther than another box's farthest is dropped before its parts are looked at.
+    """
+    cells = ["cx", "cy", "cz"]
+    widest = leaves.groupBy(*by).agg(F.greatest(*[F.max(c) - F.min(c) for c in cells]).alias("w")).agg(F.max("w")).first()[0] or 0
+    levels = [cut(_boxes(leaves, by, {c: F.col(c) for c in cells}))]
+    while 4 ** (len(levels) - 1) < widest:  # at last no scene is wider than two boxes along any axis
+        levels.append(_boxes(levels[-1], by, {c: F.floor(F.col(c) / 4) for c in cells}))
+    q = left.withColumns({f"{n}{k}": F.col(k) for k in XYZ for n in ("lo", "hi")})
+    q = _boxes(q, by, {f"q{k}": F.floor(F.col(k) / cell).cast("bigint") for k in XYZ}).withColumnsRenamed({f"{n}{k}": f"q_{n}{k}" for k in XYZ for n in ("lo", "hi")})
+    own = [*by, "qx", "qy", "qz"]
+    salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a scene of many boxes is spread; its few roots go to every salt
+    roots = levels[-1].withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    d = q.withColumn("__salt", F.pmod(F.xxhash64("qx", "qy", "qz"), F.lit(salts)).cast("int")).join(roots, [*by, "__salt"]).drop("__salt")
+    for depth in range(len(levels) - 1, -1, -1):
+        d = cut(d.withColumns({"__near": _reach(True), "__far": _reach(False)}))
+        bound = d.groupBy(*own).agg(F.min("__far").alias("__bound"))
+        d = d.join(bound, own).filter(F.col("__near") <= (F.col("__bound") if max_r is None else F.least("__bound", F.lit(max_r))))
+        box = [f"{n}{k}" for k in XYZ for n in ("lo", "hi")]
+        d = d.drop("__near", "__far", "__bound", *box)
+        if depth:
+            parts = levels[depth - 1].withColumnsRenamed({c: f"n{c}" for c in cells}).withColumns({c: F.floor(F.col(f"n{c}") / 4) for c in cells})
+            d = d.join(parts, [*by, *cells]).drop(*cells).withColumnsRenamed({f"n{c}": c for c in cells})
+    return d.select(*own, *cells)
+
+
 def nn_distance(query: DataFrame, ref: DataFrame, by: Sequence[str] = ("scene",), ids: Sequence[str] = ("pt",), cell: float = 0.25,
                 max_r: float | None = None) -> DataFrame:
     """Distance from each query point to its nearest reference point, as ``distance``.
 
-    Cells of one size are searched with their neighbours; a distance within one cell width is
-    final. Points without one move on to cells twice as wide, so each level handles only what the
-    last one left. Reference points of a cell travel in arrays of at most ``BLOCK``, and only the
-    minimum per array leaves the join. Beyond ``max_r`` the distance is NULL.
+    References are packed once, into arrays of at most about ``BLOCK`` points of one cell. A point first meets its own cell and those around it; a distance within one cell width is
+    final. The others look further through a hierarchy of boxes, and meet only cells that can hold their nearest point, however far away that is. Beyond ``max_r`` the distance is NULL, as in scenes without references.
     """
     by, ids = list(by), list(ids)
-    keys = [*by, *ids]
-    refs = cut(ref.select(*by, *XYZ).distinct())
-    have = refs.select(*by).distinct()
-    left = cut(query.select(*keys, *XYZ).join(have, by, "left_semi"))
-    done, size = query.select(*keys).join(have, by, "left_anti").withColumn("distance", F.lit(None).cast("double")), cell
-    while True:
-        cells = refs.withColumns(_cell(size)).withColumn("__b", F.pmod(F.xxhash64(*XYZ), F.lit(2 ** 31 - 1)))
-        n = cells.groupBy(*by, "cx", "cy", "cz").agg(F.count("*").alias("__n"))
-        packed = cells.join(n, [*by, "cx", "cy", "cz"]).groupBy(*by, "cx", "cy", "cz", F.pmod("__b", F.ceil(F.col("__n") / BLOCK)).alias("__b")).agg(
-            F.collect_list(F.struct(*XYZ)).alias("__r"))
-        q = left.withColumns(_cell(size)).withColumn("o", _around())
-        q = q.withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j"), "cz": F.col("cz") + F.col("o.k")}).drop("o")
-        d2 = lambda p: sum(((p[k] - F.col(k)) * (p[k] - F.col(k)) for k in "yz"), (p["x"] - F.col("x")) * (p["x"] - F.col("x")))
-        m = q.join(packed, [*by, "cx", "cy", "cz"]).withColumn("__d", F.array_min(F.transform("__r", d2)))
-        best = m.groupBy(*keys).agg(F.sqrt(F.min("__d")).alias("distance"))
-        cur = cut(left.join(best, keys, "left"))
-        final = F.col("distance").isNotNull() & (F.col("distance") <= size)
-        done = done.unionByName(cur.filter(final).select(*keys, "distance"))
-        left = cut(cur.filter(~F.coalesce(final, F.lit(False))).select(*keys, *XYZ))
-        if left.isEmpty():
-            break
-        if max_r is not None and size >= max_r:
-            done = done.unionByName(left.select(*keys).withColumn("distance", F.lit(None).cast("double")))
-            break
-        size *= 2
+    keys, cells = [*by, *ids], ["cx", "cy", "cz"]
+    leaves = _leaves(ref, by, cell)
+    points = leaves.select(*by, *cells, "__r")
+    have = leaves.select(*by).distinct()
+    start = cut(query.select(*keys, *XYZ).join(have, by, "left_semi"))
+    none = query.select(*keys).join(have, by, "left_anti").withColumn("distance", F.lit(None).cast("double"))
+    d2 = lambda p: sum(((p[k] - F.col(k)) * (p[k] - F.col(k)) for k in "yz"), (p["x"] - F.col("x")) * (p["x"] - F.col("x")))
+    least = lambda d: d.withColumn("__d", F.array_min(F.transform("__r", d2))).groupBy(*keys).agg(F.sqrt(F.min("__d")).alias("distance"))
+    around = start.withColumns(_cell(cell)).withColumn("o", _around())
+    around = around.withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j"), "cz": F.col("cz") + F.col("o.k")}).drop("o")
+    cur = cut(start.join(least(around.join(points, [*by, *cells])), keys, "left"))
+    final = F.coalesce(F.col("distance") <= cell, F.lit(False))
+    done, left = cur.filter(final).select(*keys, "distance"), cur.filter(~final).select(*keys, *XYZ)
+    if not left.isEmpty():
+        found = _candidates(left, leaves, by, cell, max_r)
+        met = left.withColumns({f"q{k}": F.floor(F.col(k) / cell).cast("bigint") for k in XYZ}).join(found, [*by, "qx", "qy", "qz"])
+        done = done.unionByName(left.select(*keys).join(least(met.join(points, [*by, *cells])), keys, "left"))
     if max_r is not None:
         done = done.withColumn("distance", F.when(F.col("distance") <= max_r, F.col("distance")))
-    return done
+    return done.unionByName(none)
 
 
 def voxel_down(df: DataFrame, size: float, by: Sequence[str] = ("scene",)) -> DataFrame:

@@ -110,3 +110,23 @@ def test_hash_sample_counts_and_sim3(spark):
     assert clouds.apply_alignment(pairs, clouds.align_sim3(pairs)).agg(F.max("error")).first()[0] < 1e-9
     m = clouds.ransac_sim3(noisy, inlier=0.5).first()
     assert abs(m.s - 0.5) < 0.05
+
+
+def test_nearest_neighbours_of_shifted_clouds(spark):
+    rng = np.random.default_rng(4)
+    scenes = {"near": (rng.uniform(-2, 2, (300, 3)), rng.uniform(-2, 2, (400, 3))), "far": (rng.uniform(0, 1, (150, 3)) + [40, -7, 3], rng.uniform(-3, 3, (300, 3))),
+              "one": (rng.uniform(-90, 90, (40, 3)), np.array([[1.0, 2.0, 3.0]])), "lone": (np.zeros((2, 3)), np.empty((0, 3))), "dense": (rng.uniform(5, 6, (60, 3)), np.repeat(rng.uniform(0, 0.05, (700, 3)), 2, 0))}
+    rows = lambda k: [(s, i, *map(float, p)) for s, pair in scenes.items() for i, p in enumerate(pair[k])]
+    q, ref = (spark.createDataFrame(rows(k), "scene string, pt int, x double, y double, z double") for k in (0, 1))
+    for max_r in (None, 1.5):
+        got = {(r.scene, r.pt): r.distance for r in clouds.nn_distance(q, ref, cell=0.2, max_r=max_r).collect()}
+        for s, (a, b) in scenes.items():
+            for i, p in enumerate(a):
+                want = float(np.sqrt(((b - p) ** 2).sum(1)).min()) if len(b) else None
+                have = got.pop((s, i))
+                assert have is None if want is None or (max_r and want > max_r) else abs(have - want) < 1e-9
+        assert not got
+    leaves = clouds._leaves(ref, ["scene"], 0.2)
+    far = q.filter("scene = 'far'").select("scene", "pt", "x", "y", "z")
+    met = clouds._candidates(far, leaves, ["scene"], 0.2, None).groupBy("qx", "qy", "qz").count().agg({"count": "max"}).first()[0]
+    assert met < leaves.filter("scene = 'far'").count() / 8  # a shifted cloud does not meet the whole scene
