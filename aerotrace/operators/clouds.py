@@ -104,6 +104,12 @@ def nn_distance(query: DataFrame, ref: DataFrame, by: Sequence[str] = ("scene",)
     return done.unionByName(none)
 
 
+def nearest_cells(query: DataFrame, ref: DataFrame, by: Sequence[str], cell: float) -> DataFrame:
+    """Pairs of cells (qx, qy, qz) of ``query`` and (cx, cy, cz) of ``ref`` such that the nearest reference of every query point lies in a cell paired with its own."""
+    corners = ref.withColumns({f"{n}{k}": F.col(k) for k in XYZ for n in ("lo", "hi")})
+    return cut(_candidates(query, cut(_boxes(corners, list(by), _cell(cell))), list(by), cell, None))
+
+
 def voxel_down(df: DataFrame, size: float, by: Sequence[str] = ("scene",)) -> DataFrame:
     """Mean point of each voxel."""
     return df.withColumns(_cell(size)).groupBy(*by, "cx", "cy", "cz").agg(*[F.avg(k).alias(k) for k in XYZ], F.count("*").alias("n"))

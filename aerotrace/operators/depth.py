@@ -142,15 +142,21 @@ def unproject_depth(df: DataFrame, cams: DataFrame, threshold: DataFrame | None
 def consistent_points(df: DataFrame, cams: DataFrame, dist: float = 0.2, min_views: int = 4) -> DataFrame:
     """Mean of the points that agree across views, for pixels at least ``min_views`` views confirm.
 
-    Every point is projected into each camera of its scene and meets the pixel it lands on by an
-    equi-join; the reference view counts as one.
+    A view can confirm a point only if one of its own points is within ``dist``. An index from places to views tells
+    which ones do: the cells of a coarse grid that the views' points reach, each cell and view once. Only into those cameras
+    a point is projected, and it meets the pixel it lands on by an equi-join. The reference view counts as one.
     """
     pts = unproject_depth(df, cams).select("scene", "view", "u", "v", "x", "y", "z")
-    per_scene = cams.groupBy("scene").agg(F.collect_list(F.struct("view", "fx", "fy", "cx", "cy", "m")).alias("__cams"))
-    d = pts.join(per_scene, "scene").withColumn("c", F.explode("__cams")).drop("__cams")
+    side, reach = 4 * dist or 1.0, dist * 1.001  # a little wider, so that rounding loses no view
+    at = {f"__c{k}": F.floor(F.col(k) / side) for k in "xyz"}
+    seen = pts.select("scene", F.col("view").alias("sv"), *[F.sequence(F.floor((F.col(k) - reach) / side), F.floor((F.col(k) + reach) / side)).alias(f"__c{k}") for k in "xyz"]).distinct()
+    for c in at:
+        seen = seen.withColumn(c, F.explode(c))
+    c = F.struct("fx", "fy", "cx", "cy", "m").alias("c")
+    d = pts.withColumns(at).join(seen.distinct(), ["scene", *at]).drop(*at).join(cams.select("scene", F.col("view").alias("sv"), c), ["scene", "sv"])
     d = d.withColumn("q", rot.apply(F.col("c.m"), "x", "y", "z")).filter(F.col("q.z") > 0)
     d = d.withColumn("px", rot.project(F.col("q.x"), F.col("q.y"), F.col("q.z"), F.col("c.fx"), F.col("c.fy"), F.col("c.cx"), F.col("c.cy")))
-    d = d.select("scene", "view", "u", "v", "x", "y", "z", F.col("c.view").alias("sv"), F.round("px.u").cast("bigint").alias("su"), F.round("px.v").cast("bigint").alias("svv"))
+    d = d.select("scene", "view", "u", "v", "x", "y", "z", "sv", F.round("px.u").cast("bigint").alias("su"), F.round("px.v").cast("bigint").alias("svv"))
     src = pts.select("scene", F.col("view").alias("sv"), F.col("u").cast("bigint").alias("su"), F.col("v").cast("bigint").alias("svv"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"))
     d = d.join(src, ["scene", "sv", "su", "svv"])
     sq = sum(((F.col(a) - F.col(f"s{a}")) * (F.col(a) - F.col(f"s{a}")) for a in "yz"), (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aerotrace.functions import geo
 from aerotrace.functions import vectors as vec
-from aerotrace.operators import ordered
+from aerotrace.operators import clouds, ordered
 from aerotrace.operators.ranks import exact_percentile
 
 # Slots per gallery slice, and the smallest usable gallery.
@@ -17,9 +17,6 @@ RECENT, TOP_CONF, TOP_SHARP, MIN_GALLERY = 15, 15, 15, 2
 
 TRACK_KEYS = ("mission_id", "tid")
 
-# Identities a probe meets at a time.
-RANK_BLOCK = 4096
-
 
 def _ranked(df: DataFrame, keys: Sequence[str], n: int, *order: Column) -> DataFrame:
     """First ``n`` rows per key. One rank per pass lets Spark cut each task to ``n`` before the shuffle."""
@@ -123,21 +120,66 @@ def centroid(df: DataFrame, by: Sequence[str] = TRACK_KEYS, col: str = "embeddin
 def rank_by_distance(gids: DataFrame, probes: DataFrame, probe_key: str = "probe_id", gid: str = "gid") -> DataFrame:
     """All identities by distance from each probe point, with their ``rank`` from 1; unplaced ones come last.
 
-    The result has a row for every probe and identity. Both sides are dealt to blocks by a hash, and a probe meets the
-    identities block by block.
+    The result has a row for every probe and identity; ``nearest_gid`` finds the first one without them. Probes are copied to every block of identities, and
+    ranks are made over sorted ranges, so no task holds all identities of a probe.
     """
-    blocks = max(1, -(-gids.count() // RANK_BLOCK))
+    blocks = int(gids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     g = gids.withColumn("__b", F.pmod(F.xxhash64(gid), F.lit(blocks)).cast("int"))
     p = probes.select(F.col(probe_key), F.col("lat").alias("__plat"), F.col("lon").alias("__plon"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
     d = g.join(p, "__b").withColumn("distance", geo.haversine("lat", "lon", F.col("__plat"), F.col("__plon"), geo.R_EARTH_MEAN))
-    w = Window.partitionBy(probe_key).orderBy(F.col("distance").asc_nulls_last(), gid)
-    return d.withColumn("rank", F.row_number().over(w)).select(probe_key, *gids.columns, "distance", "rank")
+    ranked = ordered.rank_over(d, [probe_key], [F.col("distance").asc_nulls_last(), F.col(gid).asc()], "rank")
+    return ranked.select(probe_key, *gids.columns, "distance", F.col("rank").cast("int").alias("rank"))
+
+
+def _on_sphere(d: DataFrame) -> DataFrame:
+    """Rows with a place, and that place in metres from the centre of the Earth; nearer on the ground is nearer in space."""
+    placed = d.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon"))
+    la, lo, radius = F.radians("lat"), F.radians("lon"), F.lit(geo.R_EARTH_MEAN)
+    return placed.withColumns({"__all": F.lit(0), "x": radius * F.cos(la) * F.cos(lo), "y": radius * F.cos(la) * F.sin(lo), "z": radius * F.sin(la)})
+
+
+def nearest_gid(gids: DataFrame, probes: DataFrame, probe_key: str = "probe_id", gid: str = "gid", cell: float = 10.0) -> DataFrame:
+    """Closest placed identity of each probe, as ``gid`` and ``distance`` in metres; the smaller number among equals.
 
+    Identities lie in cells ``cell`` metres wide. A hierarchy of boxes around the cells tells which of them can hold the nearest identity of the probes of a cell,
+    however far away; only those are met. A probe without a place, or without any placed identity, has no row.
+    """
+    g = _on_sphere(gids.select(F.col(gid).alias("gid"), "lat", "lon"))
+    p = _on_sphere(probes.select(probe_key, "lat", "lon"))
+    pairs = clouds.nearest_cells(p, g, ["__all"], cell)
+    at = lambda d, c: d.withColumns({f"{c}{k}": F.floor(F.col(k) / cell).cast("bigint") for k in "xyz"}).drop(*"xyz")
+    met = at(p, "q").withColumnsRenamed({"lat": "__plat", "lon": "__plon"}).join(pairs, ["__all", "qx", "qy", "qz"]).join(at(g, "c"), ["__all", "cx", "cy", "cz"])
+    d = met.select(probe_key, "gid", geo.haversine("lat", "lon", F.col("__plat"), F.col("__plon"), geo.R_EARTH_MEAN).alias("distance"))
+    return d.groupBy(probe_key).agg(F.min(F.struct("distance", "gid")).alias("__n")).select(probe_key, "__n.gid", "__n.distance")
+
+
+def gid_record(headers: DataFrame, buffers: DataFrame, entries: DataFrame, files: DataFrame | None = None, keys: Sequence[str] = ("path",)) -> DataFrame:
+    """Full record of each identity from the three tables of the record reader, one row per header.
 
-def nearest_gid(gids: DataFrame, probes: DataFrame, probe_key: str = "probe_id") -> DataFrame:
-    """Closest placed identity of each probe."""
-    d = rank_by_distance(gids, probes, probe_key)
-    return d.filter((F.col("rank") == 1) & F.col("distance").isNotNull()).select(probe_key, "gid", "distance")
+    To the newest values, spans and bests over all buffers come the final position, the clock values of the newest buffer, and counts. Without
+    a buffer the event is "new" and the gallery empty. ``files`` (keys, ``name``) lists the files next to the record: crops are counted, and ``representative`` changes with
+    every update. The track itself, which may be long, is ``gid_track``.
+    """
+    keys = list(keys)
+    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("buffer_no")))
+    b = buffers.groupBy(*keys).agg(
+        F.max_by("event", "buffer_no").alias("event"), F.count("*").alias("updates"), newest("tid").alias("tid"), newest("cumulative_gallery").alias("gallery_size"),
+        F.max("best_confidence").alias("best_conf"), F.max("best_sharpness").alias("best_sharpness"), F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"),
+        newest("mission_timestamp").alias("mission_timestamp"), newest("ros_assignment_time").alias("ros_time"))
+    e = entries.groupBy(*keys).agg(F.count("*").alias("entries"))
+    h = headers.select(*keys, "gid", "created", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.col("samples").alias("gps_samples"))
+    d = h.join(b, keys, "left").join(e, keys, "left").withColumns({"event": F.coalesce("event", F.lit("new"))} | {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("updates", "gallery_size", "entries")})
+    if files is None:
+        return d
+    crop = F.col("name").startswith("crop_frame_") & F.col("name").endswith(".jpg")
+    f = files.distinct().groupBy(*keys).agg(F.count_if(crop).alias("crops"), F.max(F.col("name") == "representative.jpg").alias("__rep"))
+    folder = F.concat(F.lit("gid_"), F.col("gid").cast("string"), F.lit("/representative.jpg?v="), F.col("updates").cast("string"))
+    return d.join(f, keys, "left").withColumns({"crops": F.coalesce("crops", F.lit(0).cast("bigint")), "representative": F.when(F.col("__rep"), folder)}).drop("__rep")
+
+
+def gid_track(entries: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
+    """Entries of all buffers of an identity as one track, numbered by ``track_no`` from 1. A buffer holds at most a gallery."""
+    return ordered.running_sum(entries, list(keys), ["buffer_no", "pos"], F.floor(F.col("buffer_no") / 64), F.lit(1), "track_no")
 
 
 def append_new_crops(new: DataFrame, existing: DataFrame, keys: Sequence[str] = ("mission_id", "gid", "frame", "conf", "sharpness")) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from aerotrace.operators.runtime import cut
+
 SUMMARY_FAN = 1024
 
 
@@ -114,6 +116,20 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], segment:
         "__seg", "__val", "__ls", "__pre")
 
 
+def rank_over(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """Add the place of each row within its group, from 1, whatever values it is ordered by.
+
+    Rows are sorted into ranges of about equal size, and a range is ranked after the rows of its group in the ranges before it. The ranges are
+    written down first, so they are the same whenever a task runs again. ``order`` must be total within ``by``.
+    """
+    by = list(by)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = cut(df.repartitionByRange(ranges, *by, *order)).withColumn("__seg", F.spark_partition_id().cast("bigint"))
+    before = _prefix(d.groupBy(*by, "__seg").agg(F.count("*").alias("__tot")), by, "__tot", "__pre")
+    d = d.withColumn("__rn", F.row_number().over(Window.partitionBy(*by, "__seg").orderBy(*order)))
+    return d.join(before, [*by, "__seg"]).withColumn(out, F.col("__rn") + F.col("__pre")).drop("__seg", "__rn", "__pre")
+
+
 def last_n(df: DataFrame, by: Sequence[str], order: Sequence[str], segment: Column, n: int,
            rank: str | None = None) -> DataFrame:
     """The ``n`` newest rows per group; only segments that can hold one of them are ranked."""

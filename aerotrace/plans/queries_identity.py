@@ -166,6 +166,16 @@ def _(t):
     return idn.rank_by_distance(g, p).select("probe_id", "gid", r("distance", 4).alias("distance"), "rank")
 
 
+@query("nearest_gid", f"""WITH g AS (SELECT frame AS gid, lat, lon FROM observations WHERE frame % 20 <> 0), p AS (SELECT l_orderkey * 8 + l_linenumber AS probe_id, 28.75 + l_partkey % 3001 * 0.0000013 + 0.0000000137 AS plat, 77.11 + l_suppkey % 997 * 0.0000017 + 0.0000000071 AS plon FROM lineitem WHERE l_linenumber = 1),
+ d AS (SELECT probe_id, gid, {hav('lat','lon','plat','plon',6371008.8)} AS distance FROM g, p)
+SELECT probe_id, arg_min(gid, distance) AS gid, {rs('min(distance)', 4)} AS distance FROM d GROUP BY 1""", "observations")
+def _(t):
+    g = t("observations").select(F.col("frame").alias("gid"), F.when(F.col("frame") % 20 != 0, F.col("lat")).alias("lat"), "lon")
+    p = t("lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("probe_id"), (28.75 + F.col("l_partkey") % 3001 * 0.0000013 + 0.0000000137).alias("lat"),
+                                                        (77.11 + F.col("l_suppkey") % 997 * 0.0000017 + 0.0000000071).alias("lon"))
+    return idn.nearest_gid(g, p).select("probe_id", "gid", r("distance", 4).alias("distance"))
+
+
 @query("append_new_crops", """WITH o AS (SELECT mission_id, tid AS gid, frame, printf('%.2f', conf) AS c, CAST(trunc(sharpness) AS BIGINT) AS s FROM observations)
 SELECT mission_id, gid, frame FROM o WHERE NOT (frame % 3 = 0)""", "observations")
 def _(t):

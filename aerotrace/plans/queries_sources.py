@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from aerotrace.functions import text
+from aerotrace.operators import identities as idn
 from aerotrace.operators.runtime import ensure_checkpoint_dir
 from aerotrace.plans.registry import query, r, rs
 from aerotrace.sources import flight_logs as fl
@@ -70,6 +71,30 @@ def _(t):
     return e.select("mission_id", "gid", "frame", r("conf", 4).alias("conf"), r("sharpness", 2).alias("sharpness"), "lat")
 
 
+@query("gid_record", f"""SELECT mission_id, gid, arg_max(event, update_no) AS event, count(*) AS updates, arg_max(tid, update_no) AS tid, 28.75::DOUBLE AS lat, CAST(NULL AS DOUBLE) AS lon, count(*) AS gps_samples,
+ arg_max(cumulative_gallery, update_no) AS gallery_size, {rs('max(best_conf)', 4)} AS best_conf, {rs('max(best_sharpness)', 2)} AS best_sharpness, min(first_frame) AS first_frame, max(last_frame) AS last_frame,
+ {rs('arg_max(last_frame, update_no)/30.0', 3)} AS ros_time, count(*) AS entries, count(DISTINCT last_frame) AS crops, CASE WHEN gid % 2 = 0 THEN 'gid_' || gid || '/representative.jpg?v=' || count(*) END AS representative
+ FROM buffers GROUP BY mission_id, gid""", "buffers")
+def _(t):
+    parts = runs.parse_identity_text(record_text(t).withColumnRenamed("gid", "rec"), ["mission_id", "rec"])
+    b = t("buffers").withColumnRenamed("gid", "rec")
+    files = b.select("mission_id", "rec", F.format_string("crop_frame_%06d.jpg", "last_frame").alias("name")).unionByName(b.filter("rec % 2 = 0").select("mission_id", "rec", F.lit("representative.jpg").alias("name")))
+    d = idn.gid_record(*parts, files, ["mission_id", "rec"])
+    return d.select("mission_id", "gid", "event", "updates", "tid", "lat", "lon", "gps_samples", "gallery_size", r("best_conf", 4).alias("best_conf"), r("best_sharpness", 2).alias("best_sharpness"), "first_frame", "last_frame",
+                    r("ros_time", 3).alias("ros_time"), "entries", "crops", "representative")
+
+
+@query("gid_track", f"SELECT mission_id, gid, row_number() OVER (PARTITION BY mission_id, gid ORDER BY update_no) AS track_no, last_frame AS frame, {rs('best_conf',4)} AS conf FROM buffers", "buffers")
+def _(t):
+    _, _, e = runs.parse_identity_text(record_text(t), ["mission_id", "gid"])
+    return idn.gid_track(e, ["mission_id", "gid"]).select("mission_id", "gid", F.col("track_no").cast("bigint").alias("track_no"), "frame", r("conf", 4).alias("conf"))
+
+
+@query("concat_datasets", "SELECT doc_id, lang, CAST(0 AS INTEGER) AS part, CAST(NULL AS BIGINT) AS quality FROM documents UNION ALL SELECT doc_id, CAST(NULL AS VARCHAR), 1, CAST(quality AS BIGINT) FROM labels")
+def _(t):
+    return runs.concat_datasets([t("documents").select("doc_id", "lang"), t("labels").select("doc_id", F.col("quality").cast("bigint").alias("quality"))]).select("doc_id", "lang", "part", "quality")
+
+
 @query("format_log", "SELECT '[' || rpad(CASE event_type WHEN 'view' THEN 'FRAME' WHEN 'error' THEN 'ERROR' ELSE 'OK' END, 7, ' ') || '] n=' || event_id AS \"value\" FROM events")
 def _(t):
     e = t("events").select(F.when(F.col("event_type") == "view", "FRAME").when(F.col("event_type") == "error", "ERROR").otherwise("OK").alias("level"), F.concat(F.lit("n="), F.col("event_id").cast("string")).alias("msg"))
@@ -145,9 +170,10 @@ def store(t, name: str) -> str:
     return f"{ensure_checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("metric_store", "SELECT dataset, mode, scene, metric, max(value) AS value FROM metrics WHERE run = 'run0' GROUP BY 1, 2, 3, 4", "metrics")
+@query("metric_store", "SELECT dataset || '.' || run AS dataset, mode, scene, metric, max(value) AS value FROM metrics GROUP BY 1, 2, 3, 4", "metrics")
 def _(t):
-    m, path = t("metrics").filter("run = 'run0'").groupBy("dataset", "mode", "scene", "metric").agg(F.max("value").alias("value")), store(t, "metrics")
+    m = t("metrics").withColumn("dataset", F.concat_ws(".", "dataset", "run"))
+    m, path = m.groupBy("dataset", "mode", "scene", "metric").agg(F.max("value").alias("value")), store(t, "metrics")
     runs.write_metrics(m.filter("mode <> 'F'"), path)
     runs.write_metrics(m.filter("mode = 'F'"), path)
     return runs.load_metrics(t.spark, path)

@@ -234,6 +234,14 @@ def read_lidar(spark: SparkSession, path) -> DataFrame:
     return lidar.sweeps(lidar.sessionize(d, ["flight"]), ["flight"])
 
 
+def concat_datasets(parts: Sequence[DataFrame], source: str = "part") -> DataFrame:
+    """Samples of several datasets as one; ``source`` holds the number of the part. Columns are matched by name, and NULL where a part lacks one."""
+    first, *rest = [d.withColumn(source, F.lit(i)) for i, d in enumerate(parts)]
+    for d in rest:
+        first = first.unionByName(d, allowMissingColumns=True)
+    return first
+
+
 # ---- stores -------------------------------------------------------------------------------
 
 
