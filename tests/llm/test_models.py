@@ -1,4 +1,5 @@
 import itertools
+import time
 import random
 
 import numpy as np
@@ -155,6 +156,40 @@ def test_main_text(spark):
     assert html_text.extract(df.filter("page_id < 0")).collect() == []
 
 
+TEMPLATES = ["content with-sidebar", "post share", "main-content header-fixed", "entry-content tags", "page--related", "article-with-comments", "col-md-8 has-widgets", "post-single nav-below",
+             "site-inner sidebar-right", "blog-post promoted subscribe", "story share-bar-left", "post type-post tag-news", "layout--ad-free", "page-banner-none", "wrapper cookie-accepted", "menu-open site",
+             "content recommended", "td-post-content tagdiv-type sponsor", "post_header_standard", "no-footer-margin main"]
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_names_around_the_article_do_not_remove_it(name):
+    body = PAGE[PAGE.index("<article>"):PAGE.index("</article>") + 10]
+    plain = body.replace("<article>", "").replace("</article>", "")
+    bare = plain.replace("<h1>", "<p>").replace("</h1>", "</p>")
+    for inner in (body, plain):
+        for around in (f'<div class="{name}">{inner}</div>', f'<div id="x"><section class="{name}"><div>{inner}</div></section></div>'):
+            assert html_text.main_text(PAGE.replace(body, around)) == TEXT
+    if "comments" not in name:
+        assert html_text.main_text(PAGE.replace(body, f'<div class="{name}">{bare}</div>')) == TEXT
+
+
+def test_lists_of_links_in_an_article_and_long_comments():
+    links = "<ul><li><a href=/1>First source</a></li><li><a href=/2>Second source</a></li><li><a href=/3>Third source</a></li></ul></article>"
+    assert html_text.main_text(PAGE.replace("</article>", links)) == TEXT + " First source Second source Third source"
+    assert html_text.main_text(PAGE.replace("<aside>", links.replace("</article>", "<aside>"))) == TEXT
+    many = "".join(f'<li><article class="comment-body"><p>Reader {i} writes at length about all that the article says, and more.</p></article></li>' for i in range(40))
+    assert html_text.main_text(PAGE.replace('<div id="comments">', f'<div id="comments">{many}')) == TEXT
+    assert html_text.main_text(PAGE.replace("Head &amp; line", '<span class="header-text">Head &amp; line</span><span class="ad">Buy</span>')) == TEXT
+    assert html_text.main_text('<article><h1></h1></article><div class="ad">Buy now, buy more, buy it all today!</div>') == ""
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "<b>" * 50_000 + "<div>y</div>" * 50_000, "<div>x</p>" * 60_000, "<ul><li>z" * 50_000, " <i> </i>" * 60_000 + "x", '<div class="ad share">w' * 50_000])
+def test_broken_pages_take_time_by_length_only(page):
+    start = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - start < 20
+
+
 def test_page_texts_equal_their_documents(spark, tables):
     """The invented pages hold documents, which their urls name."""
     pages = html_text.extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
