@@ -9,8 +9,9 @@ to fill the room left in the others, and the one bin that stays open is laid out
 whose lengths are powers of two, which take no padding.
 
 Edge cases: a NULL or empty text is a document of one id, the end id; repeated rows are packed once
-each; an empty table gives no piece; other columns are left out. Copies of one row share a hash and
-so a task, which takes them in groups one after the other in bounded memory.
+each; an empty table gives no piece; other columns are left out. Copies of one row share a hash. Where one hash
+stands for more than ``HOT_SHARE`` of all rows, its rows are counted before they are shuffled, and the counts are dealt in portions
+of at most ``GROUP_DOCS`` copies, so that no task receives them all. There are at most ``1 / HOT_SHARE`` such hashes.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerotrace.llm.common import slices, texts_of
+from aerotrace.llm.common import keep, slices, texts_of
 from aerotrace.llm.encoding import encoder
 
 LENGTH = 2048
 GROUP_DOCS = 4096
 GROUP_IDS = 8 << 20
+HOT_SHARE = 1e-4
 
 Piece = tuple[int, int, int]  # document within the group, first id, ids
 
@@ -143,22 +145,36 @@ def _emit(group: list[tuple[int | None, np.ndarray]], first: int, length: int) -
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], NAMES), first + len(seqs)
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, copies) in the tasks and in the order in which they are packed."""
+    rows = docs.select("doc_id", "text").withColumn("k", F.xxhash64("doc_id", "text"))
+    counts = keep(rows.groupBy("k").count().filter(F.col("count") > GROUP_DOCS))
+    total = docs.count() if not counts.isEmpty() else 0
+    hot = [r["k"] for r in counts.filter(F.col("count") > HOT_SHARE * total).collect()]
+    deal = rows.withColumns({"copies": F.lit(1), "deal": F.col("k")})
+    if hot:
+        portion = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / GROUP_DOCS))).alias("part")
+        many = rows.filter(F.col("k").isin(hot)).groupBy("k", "doc_id", "text").agg(F.count("*").alias("n")).select("*", portion)
+        many = many.select("doc_id", "text", "k", F.least(F.lit(GROUP_DOCS), F.col("n") - F.col("part") * GROUP_DOCS).cast("int").alias("copies"), F.xxhash64("k", "part").alias("deal"))
+        deal = deal.filter(~F.col("k").isin(hot)).unionByName(many)
+    return deal.repartition("deal").sortWithinPartitions("deal", "doc_id", "copies").select("doc_id", "text", "copies")
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH) -> DataFrame:
     """One row a piece. ``sequence_id`` is unique over all tasks; ``offset`` counts from 0 without gaps in each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, group, held, seq = encoder(tokenizer), [], 0, TaskContext.get().partitionId() << 36
         for whole in batches:
             for batch in slices(whole, "text"):
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
+                for doc_id, text, copies in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), batch.column("copies").to_pylist(), strict=True):
                     ids = np.append(enc.ids(text), enc.dtype.type(end_id))
-                    group.append((doc_id, ids))
-                    held += len(ids)
-                    if len(group) >= GROUP_DOCS or held >= GROUP_IDS:
-                        out, seq = _emit(group, seq, length)
-                        group, held = [], 0
-                        yield out
+                    for _ in range(copies):
+                        group.append((doc_id, ids))
+                        held += len(ids)
+                        if len(group) >= GROUP_DOCS or held >= GROUP_IDS:
+                            out, seq = _emit(group, seq, length)
+                            group, held = [], 0
+                            yield out
         yield _emit(group, seq, length)[0]
 
-    key = F.xxhash64("doc_id", "text")
-    dealt = docs.select("doc_id", "text").withColumn("k", key).repartition("k").sortWithinPartitions("k", "doc_id").select("doc_id", "text")
-    return dealt.mapInArrow(run, SCHEMA)
+    return dealt(docs).mapInArrow(run, SCHEMA)

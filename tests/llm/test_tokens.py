@@ -8,6 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from aerotrace.llm import byte_bpe, packing, token_files
 from aerotrace.llm.encoding import TextEncoder
 
@@ -128,6 +130,27 @@ def test_packing_places_every_id_once(spark, tokenizer):
     assert packing.pack(spark.createDataFrame([], SCHEMA), WORD).collect() == []
 
 
+def test_copies_of_one_row_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_DOCS", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else these few rows are one task
+    rows = [(7, "one row that is everywhere", "s", 0, "q")] * 1203 + [(8, None, "s", 0, "q")] * 120 + [(i, f"text {i}", "s", 0, "q") for i in range(100, 200)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    dealt = packing.dealt(df).withColumn("task", F.spark_partition_id()).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for i, t, *_ in rows:
+        want[i, t] = want.get((i, t), 0) + 1
+    got, tasks = {}, set()
+    for r in dealt:
+        got[r["doc_id"], r["text"]] = got.get((r["doc_id"], r["text"]), 0) + r["copies"]
+        tasks |= {r["task"]} if r["doc_id"] == 7 else set()
+    assert got == want and max(r["copies"] for r in dealt) == 50 and len(tasks) > 1
+    pieces = packing.pack(df, WORD).collect()
+    starts = [p["doc_id"] for p in pieces if p["start"] == 0]
+    assert {i: starts.count(i) for i in set(starts)} == {i: n for (i, _), n in want.items()}
+    assert all(sum(p["length"] for p in pieces if p["doc_id"] == i) % p0["doc_tokens"] == 0 for i, p0 in {p["doc_id"]: p for p in pieces}.items())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 90), max_size=60))
 def test_first_fit_decreasing_equals_a_plain_loop(sizes):
