@@ -83,25 +83,28 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
              url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/")]
 
-# Names that stand in the hosts of unwanted and of ordinary sites.
-BLOCK_NAMES = ("casino casino-win win-casino online-casino bets free-bets best-bets betting poker slots jackpot lottery roulette ads ads-track adserver adclick "
-               "track tracker clicktrack pixel-track banner-ads popunder affiliate xxx porn adult-cams hot-singles escorts free-pills cheap-pills viagra payday-loans "
-               "fast-loans free-money crypto-doubler free-followers warez keygen torrent-crack spam").split()
-ALLOW_NAMES = ("library museum university weather recipes gardening history science physics chemistry mathematics news journal gazette cityhall health hospital "
-               "school teaching travel railway airport bicycle mountain river forest music orchestra theatre cinema painting software database compiler kernel "
-               "networking astronomy geology biology ocean sailing fishing farming bakery kitchen furniture theran ththon tionble ereing onthat stanre ingwhea").split()
+# English words for what unwanted and ordinary sites are about. They are general vocabulary, chosen without regard to the hosts to be judged.
+BLOCK_WORDS = ("casino bet betting poker slots jackpot lottery roulette blackjack bookmaker wager gamble gambling bingo ads adserver advert adclick banner popup popunder tracker tracking "
+               "clickbait affiliate porn xxx sex erotic nude adult escort webcam singles hookup viagra cialis pill pills pharmacy steroids diet payday loan loans debt forex binary crypto "
+               "doubler followers likes warez keygen crack serial torrent spam phishing malware scam replica giveaway prize winner").split()
+ALLOW_WORDS = ("library museum university college school teacher student science physics chemistry mathematics biology geology astronomy history archive journal gazette news weather climate "
+               "hospital clinic health nursing garden gardening farm farming bakery kitchen recipe recipes cooking restaurant hotel travel railway airport bicycle mountain river forest ocean "
+               "sailing fishing music orchestra theatre cinema painting gallery poetry novel software database compiler kernel network research institute city council parish church "
+               "furniture carpenter tools engine garage insurance bank law court police").split()
+NEUTRAL_WORDS = ("the", "my", "best", "online", "new", "world", "top", "city")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table (url, label): every name above with the same subdomains, endings and paths."""
-    subs, ends = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org")
+    """The small labelled table (url, label): each word above alone and beside neutral words, with the same subdomains, endings and paths for both labels."""
+    subs, ends = ("", "www.", "m.", "blog."), ("com", "net", "info", "example.com", "example.net", "example.org")
     paths = ("/en/{n}", "/de/{n}/", "/fr/{n}.html", "/es/{n}?page=2", "/")
     rows = []
-    for label, names in ((1, BLOCK_NAMES), (0, ALLOW_NAMES)):
-        for i, name in enumerate(names):
-            for j, sub in enumerate(subs):
+    for label, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)):
+        for i, word in enumerate(words):
+            beside = NEUTRAL_WORDS[i % len(NEUTRAL_WORDS)]
+            for j, name in enumerate((word, f"{beside}-{word}", f"{word}-{beside}", f"{beside}{word}")):
                 k = i + j
-                rows.append((f"http{'s' * (k % 2)}://{sub}{name}.{ends[k % 3]}{paths[k % 5].format(n=37 * i + 11 * j)}", label))
+                rows.append((f"http{'s' * (k % 2)}://{subs[j]}{name}.{ends[k % 6]}{paths[k % 5].format(n=37 * i + 11 * j)}", label))
     return spark.createDataFrame(rows, "url string, label int")
 
 

@@ -81,8 +81,12 @@ class UrlModel:
         return float(1 / (1 + np.exp(-z)))
 
 
-def train(labelled: DataFrame, bits: int = 14, l2: float = 1e-3, rounds: int = 300, rate: float = 0.5) -> UrlModel:
-    """Fits the model to (url, label), label 1 for block, by full-batch Adam; classes weigh the same."""
+def train(labelled: DataFrame, bits: int = 18, l2: float = 1e-5, rounds: int = 300, rate: float = 0.5, prior: float = 0.1) -> UrlModel:
+    """Fits the model to (url, label), label 1 for block, by full-batch Adam.
+
+    Both labels weigh the same in the fit, whatever their numbers; ``prior``, the share of URLs expected to be unwanted, then
+    moves the log-odds, so that a URL without evidence is allowed.
+    """
     rows = labelled.select(host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p"), F.col("label").cast("int")).dropna().limit(MOST_LABELLED + 1).collect()
     y = np.array([r["label"] for r in rows], float)
     if len(rows) > MOST_LABELLED or not 0 < y.sum() < len(y):
@@ -99,7 +103,7 @@ def train(labelled: DataFrame, bits: int = 14, l2: float = 1e-3, rounds: int = 3
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) / t**0.5
         w, b = w - step[:-1], b - step[-1]
-    return UrlModel(w, float(min(b, -1e-3)), bits)
+    return UrlModel(w, float(b + np.log(prior / (1 - prior))), bits)
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], model: UrlModel) -> DataFrame:

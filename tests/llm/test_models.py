@@ -214,3 +214,25 @@ def test_url_rules_and_model(spark):
     assert url_filter.judge(df.filter(F.col("page_id") < 0), queries.URL_RULES, url_filter.train(queries.labelled_urls(spark))).count() == 0
     with pytest.raises(ValueError):
         url_filter.train(queries.labelled_urls(spark).filter("label = 0"))
+
+def test_url_words_held_out(spark):
+    """Every fifth word is kept from the fit: ordinary ones are let through; unwanted ones are only known by the n-grams they share with others."""
+    rows = queries.labelled_urls(spark).collect()
+    model = url_filter.train(spark.createDataFrame([r for i, r in enumerate(rows) if i // 4 % 5]))
+    host_path = spark.createDataFrame(rows).select(url_filter.host_of(F.col("url")).alias("h"), url_filter.path_of(F.col("url")).alias("p"), "label").collect()
+    blocked = [(i // 4 % 5 == 0, r["label"], model.probability(r["h"], r["p"]) >= 0.5) for i, r in enumerate(host_path)]
+    share = lambda out, label: np.mean([b for o, y, b in blocked if (o, y) == (out, label)])
+    assert share(False, 1) > 0.98 and share(False, 0) < 0.02 and share(True, 0) < 0.1
+
+
+def test_url_regression_equals_a_plain_one(spark):
+    """The gradient of the loss, summed row by row, vanishes at the fitted weights."""
+    rows = queries.labelled_urls(spark).collect()[::9]
+    model = url_filter.train(spark.createDataFrame(rows), bits=12, l2=1e-2, rounds=3000, rate=0.2, prior=0.5)
+    y, grad = np.array([r["label"] for r in rows]), 1e-2 * model.weights
+    for (u, label) in rows:
+        rest = u.split("://")[1]
+        at = url_filter.slots_of(rest.partition("/")[0], ("/" + rest.partition("/")[2]).split("?")[0], 12)
+        z = model.bias + model.weights[at].sum() / np.sqrt(len(at))
+        grad[at] += 0.5 / (y == label).sum() * (1 / (1 + np.exp(-z)) - label) / np.sqrt(len(at))
+    assert np.abs(grad).max() < 2e-3
