@@ -67,8 +67,7 @@ def test_a_track_without_fixes_gets_no_identity(spark):
     assert got == {2: (1, "new"), 3: (1, "merge"), 4: (1, "merge")}
 
 
-def test_rank_holds_every_identity(spark, monkeypatch):
-    monkeypatch.setattr(identities, "RANK_BLOCK", 2)
+def test_rank_holds_every_identity(spark):
     g = spark.createDataFrame([(1, 28.0, 77.0), (2, None, 77.0), (3, 28.1, 77.0), (4, 28.01, 77.0)], "gid int, lat double, lon double")
     p = spark.createDataFrame([(0, 28.0, 77.0)], "probe_id int, lat double, lon double")
     assert [(r["rank"], r["gid"]) for r in identities.rank_by_distance(g, p).orderBy("rank").collect()] == [(1, 1), (2, 4), (3, 3), (4, 2)]
